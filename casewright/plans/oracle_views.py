@@ -24,7 +24,7 @@ def norm_sql(expr: str) -> str:
 
 def words_sql(expr: str) -> str:
     """``s.split()`` as a DuckDB list."""
-    return f"list_filter(regexp_split_to_array({expr}, '{WS_SQL}+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array({expr}, '{WS_SQL}+'), lambda x: x <> '')"
 
 
 VIEWS: dict[str, tuple[list[str], str]] = {
