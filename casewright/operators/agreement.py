@@ -44,8 +44,11 @@ def average_ranks(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
 
 def _corr_rule(x: str, y: str) -> Column:
     """corr, or 1.0/0.0 by equal means when either side has zero variance."""
-    zero_var = (F.stddev_pop(x) == 0) | (F.stddev_pop(y) == 0)
-    return F.when(zero_var, F.when(F.avg(x) == F.avg(y), F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.corr(x, y))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    zero_var = (sx == 0) | (sy == 0)
+    # covariance / (sd * sd) with try_divide: Spark's corr raises under ANSI on zero variance
+    pearson = F.try_divide(F.covar_pop(x, y), sx * sy)
+    return F.when(zero_var, F.when(F.avg(x) == F.avg(y), F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(pearson)
 
 
 def quadratic_kappa(h: Column, l: Column) -> list[Column]:
