@@ -106,9 +106,10 @@ def dedup_longest_reply(cases: DataFrame, text_col: str = "customer_text", reply
                         id_col: str = "customer_tweet_id") -> DataFrame:
     """One row per normalised customer text: longest reply, then smallest id.
 
-    Expressed as a ``min(struct)`` aggregate rather than a window: the hash
-    aggregate combines map-side, so a hot text (even a third of all rows)
-    is reduced to one candidate per task before the shuffle.
+    Expressed as a ``min(struct)`` aggregate rather than a window: the
+    aggregate has a partial (map-side) step — a sort-based one, since the
+    struct holds strings — so a hot text (even a third of all rows) is
+    reduced to one candidate per task before the shuffle.
     """
     others = [c for c in cases.columns if c not in (id_col,)]
     best = F.min(F.struct((-F.length(reply_col)).alias("_neg_len"), F.col(id_col).alias("_id"),
@@ -184,3 +185,31 @@ def tweet_partition_counts(tweets: DataFrame, brand: str) -> DataFrame:
         F.count_if(parse_tweet_time("created_at").isNull()).alias("unparsed_timestamps"),
         F.countDistinct("in_response_to_tweet_id").alias("distinct_parents"),
     )
+
+
+def assert_no_leakage(cases: DataFrame, golden: DataFrame, id_col: str = "customer_tweet_id",
+                      text_col: str = "customer_text") -> None:
+    """J4 hard stop: raise if any golden id or normalised text is still in the corpus."""
+    overlap = leakage_overlap(cases, golden, id_col, text_col)
+    sample = overlap.orderBy("match_kind", "match_key").limit(5).collect()
+    if sample:
+        raise ValueError(f"golden-set leakage into the corpus, e.g. {[tuple(r) for r in sample]}")
+
+
+def etl_audit(tweets: DataFrame, golden: DataFrame | None, brand: str) -> DataFrame:
+    """Row counter per ETL stage as (stage, n) rows (one aggregate per stage)."""
+    tw = tweets.select(*TWEET_COLUMNS)
+    cust = customer_tweets(tw)
+    brand_all = tw.filter((F.col("inbound") == F.lit(False)) & (F.col("author_id") == F.lit(brand)))
+    paired = pair_cases(merge_multipart_replies(brand_replies(tw, brand)), cust)
+    leak_free = exclude_leakage(paired, golden) if golden is not None else paired
+    kept, _ = quarantine_blank(leak_free)
+    final = dedup_longest_reply(kept)
+    stages = [("1_raw_tweets", tw), ("2_customer_tweets", cust), ("3_brand_tweets", brand_all),
+              ("4_pairs", paired), ("5_after_leakage", leak_free), ("6_after_quarantine", kept),
+              ("7_final_cases", final)]
+    out = None
+    for name, df in stages:
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -64,6 +64,11 @@ def failure_buckets(df: DataFrame, text: str = "text", truth: str | None = None,
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     rl = F.lower(F.coalesce(F.col(reply), F.lit("")))
     s = F.col(sim)
+    # keyword matches computed by the policy are reused when present
+    acc = F.col("account_keyword") if "account_keyword" in df.columns else \
+        first_keyword(F.col(text), SENSITIVE_ACCOUNT_KEYWORDS)
+    bill = F.col("billing_keyword") if "billing_keyword" in df.columns else \
+        first_keyword(F.col(text), BILLING_ACTION_KEYWORDS)
     b = {
         "low_retrieval_similarity": s < LOW_SIM,
         "unsupported_generation": (s < LOW_SIM) & (F.trim(F.coalesce(F.col(reply), F.lit(""))) != "")
@@ -71,9 +76,7 @@ def failure_buckets(df: DataFrame, text: str = "text", truth: str | None = None,
         "hallucinated_claim": F.coalesce(F.col(halluc), F.lit(False)),
         "missing_required_clarification": (F.col(pred) == "playback_and_app_issues") & ~_contains_any(low, DEVICE_TOKENS)
                                           & ~_contains_any(rl, CLARIFY_TOKENS),
-        "unsafe_auto_handle": (F.col(decision) == "auto_handle")
-                              & (first_keyword(F.col(text), SENSITIVE_ACCOUNT_KEYWORDS).isNotNull()
-                                 | first_keyword(F.col(text), BILLING_ACTION_KEYWORDS).isNotNull()),
+        "unsafe_auto_handle": (F.col(decision) == "auto_handle") & (acc.isNotNull() | bill.isNotNull()),
         "unnecessary_escalation": (F.col(decision) == "escalate")
                                   & (F.lower(F.trim(F.coalesce(F.col(human), F.lit("")))) == "auto_handle"),
         "low_quality_response": F.col(verdict) == "FAIL",

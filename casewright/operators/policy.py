@@ -112,11 +112,11 @@ def greeting_flag(text: Column) -> Column:
     """R2: a short (<= 8 words) message opening with a greeting/thanks/ack phrase."""
     inner = WS[1:-1]
     cleaned = F.regexp_replace(F.lower(py_strip(F.coalesce(text, F.lit("")))), f"[^\\p{{L}}\\p{{N}}_{inner}]", "")
-    n_words = F.size(py_words(cleaned))
     starts = F.lit(False)
     for group in GREETING_OPENERS:
         starts = starts | cleaned.rlike("^(?:" + "|".join(_regex_escape(g) for g in group) + f")(?!{WORD})")
-    return (n_words > 0) & (n_words <= GREETING_MAX_WORDS) & starts
+    # anchored opener test first; words are only counted for rows that open with one
+    return F.when(starts, F.size(py_words(cleaned)) <= GREETING_MAX_WORDS).otherwise(F.lit(False))
 
 
 def _signals(df: DataFrame, cfg: PolicyConfig, text: str, intent: str, conf: str, sim: str, count: str,
@@ -173,6 +173,7 @@ def decide(df: DataFrame, cfg: PolicyConfig = PolicyConfig(), text: str = "text"
         "rules_triggered": F.array_join(F.when(p == "A1", F.concat(triggers, F.array(F.lit("A1"))))
                                          .otherwise(triggers), ","),
         "matched_keyword": F.when(p == "E5", F.col("_acc_kw")).when(p == "E6", F.col("_bill_kw")),
+        "account_keyword": F.col("_acc_kw"), "billing_keyword": F.col("_bill_kw"),
         "reason": reason})
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 

@@ -63,3 +63,18 @@ def test_stream_equals_batch(spark):
 def FX_count(spark):
     from casewright.sources import fixtures as FX
     return FX.signals(spark, SF_SMALL).count()
+
+
+def test_corpus_contract_and_no_leakage(spark):
+    import pytest
+    from casewright.operators import corpus as C
+    from casewright.operators.quality import check_case_contract
+    from casewright.sources import fixtures as FX
+    cases = E.entry(spark)
+    check_case_contract(cases)
+    C.assert_no_leakage(cases, FX.tweet_golden(spark, SF_SMALL))
+    golden = FX.tweet_golden(spark, SF_SMALL)
+    with pytest.raises(ValueError):
+        C.assert_no_leakage(FX.docs_cases(spark, SF_SMALL),
+                            FX.docs_golden(spark, SF_SMALL))
+    assert golden.count() > 0
