@@ -46,7 +46,8 @@ def q_majority(spark, sf_dir):
 @query("intent_models", "M1 M2 M3 M5 M6 M7")
 def q_intent_models(spark, sf_dir):
     """Three models fitted on the train split, predictions for the test split."""
-    s = _split(spark, sf_dir)
+    # the split feeds training, the majority count and the test predictions: compute it once
+    s = _split(spark, sf_dir).select("tweet_id", "text", "intent", "split").cache()
     models = I.train_models(s.filter(F.col("split") == "train"), FX.DOC_TAXONOMY)
     return I.predict(models, s.filter(F.col("split") == "test"))
 
