@@ -197,19 +197,38 @@ def assert_no_leakage(cases: DataFrame, golden: DataFrame, id_col: str = "custom
 
 
 def etl_audit(tweets: DataFrame, golden: DataFrame | None, brand: str) -> DataFrame:
-    """Row counter per ETL stage as (stage, n) rows (one aggregate per stage)."""
+    """Row counter per ETL stage as (stage, n) rows, from two scans.
+
+    One aggregate over the raw table gives the input counters; the pairs are
+    then *marked* (leak by id or text, blank texts) with left joins against
+    the bounded golden keys, and one aggregate over the marked pairs gives
+    the remaining counters (the final count is the number of distinct
+    normalised texts left, which is what dedup keeps).
+    """
     tw = tweets.select(*TWEET_COLUMNS)
-    cust = customer_tweets(tw)
-    brand_all = tw.filter((F.col("inbound") == F.lit(False)) & (F.col("author_id") == F.lit(brand)))
-    paired = pair_cases(merge_multipart_replies(brand_replies(tw, brand)), cust)
-    leak_free = exclude_leakage(paired, golden) if golden is not None else paired
-    kept, _ = quarantine_blank(leak_free)
-    final = dedup_longest_reply(kept)
-    stages = [("1_raw_tweets", tw), ("2_customer_tweets", cust), ("3_brand_tweets", brand_all),
-              ("4_pairs", paired), ("5_after_leakage", leak_free), ("6_after_quarantine", kept),
-              ("7_final_cases", final)]
-    out = None
-    for name, df in stages:
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    is_brand = (F.col("inbound") == F.lit(False)) & (F.col("author_id") == F.lit(brand))
+    raw = tw.agg(F.count(F.lit(1)).alias("1_raw_tweets"),
+                 F.count_if(F.col("inbound") == F.lit(True)).alias("2_customer_tweets"),
+                 F.count_if(is_brand).alias("3_brand_tweets"))
+    paired = pair_cases(merge_multipart_replies(brand_replies(tw, brand)), customer_tweets(tw))
+    marked = paired.withColumn("_key", norm_key("customer_text"))
+    if golden is not None:
+        g_ids = bounded_broadcast(golden.select(F.col("tweet_id").cast("long").alias("customer_tweet_id"),
+                                                F.lit(True).alias("_lid")).distinct())
+        g_txt = bounded_broadcast(golden.select(norm_key("text").alias("_key"), F.lit(True).alias("_ltx"))
+                                        .filter(F.col("_key").isNotNull()).distinct())
+        marked = marked.join(g_ids, "customer_tweet_id", "left").join(g_txt, "_key", "left")
+        leak = F.coalesce(F.col("_lid"), F.lit(False)) | F.coalesce(F.col("_ltx"), F.lit(False))
+    else:
+        leak = F.lit(False)
+    blank = (F.col("customer_text").isNull() | F.col("support_text").isNull()
+             | (py_strip("customer_text") == "") | (py_strip("support_text") == ""))
+    kept = ~leak & ~blank
+    pairs = marked.agg(F.count(F.lit(1)).alias("4_pairs"), F.count_if(~leak).alias("5_after_leakage"),
+                       F.count_if(kept).alias("6_after_quarantine"),
+                       F.count_distinct(F.when(kept, F.col("_key"))).alias("7_final_cases"))
+    both = raw.join(pairs, how="inner", on=F.lit(True))          # two single-row aggregates
+    names = ["1_raw_tweets", "2_customer_tweets", "3_brand_tweets", "4_pairs", "5_after_leakage",
+             "6_after_quarantine", "7_final_cases"]
+    stack = ", ".join(f"'{n}', CAST(`{n}` AS BIGINT)" for n in names)
+    return both.selectExpr(f"stack({len(names)}, {stack}) AS (stage, n)")

@@ -27,26 +27,31 @@ from pyspark.sql import functions as F
 from casewright.operators.common import reliable_checkpoint
 
 
+def _flagged(ptr: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, ptr) -> (id, ptr, open): ``open`` = the pointer still has a parent entry."""
+    keys = edges.select(F.col("id").alias("ptr"), F.lit(True).alias("_has"))
+    return ptr.join(keys, "ptr", "left").select("id", "ptr", F.coalesce("_has", F.lit(False)).alias("open"))
+
+
 def _jump(ptr: DataFrame) -> DataFrame:
+    """One doubling step; the ``open`` flag travels with the pointer, so the
+    next round's unresolved count is a scan, not another join."""
     a, b = ptr.alias("a"), ptr.alias("b")
     return (a.join(b, F.col("a.ptr") == F.col("b.id"), "left")
-             .select(F.col("a.id").alias("id"), F.coalesce(F.col("b.ptr"), F.col("a.ptr")).alias("ptr")))
-
-
-def _unresolved(ptr: DataFrame, edges: DataFrame) -> DataFrame:
-    keys = edges.select(F.col("id").alias("ptr"))
-    return ptr.join(keys, "ptr", "left_semi")
+             .select(F.col("a.id").alias("id"),
+                     F.when(F.col("a.open"), F.col("b.ptr")).otherwise(F.col("a.ptr")).alias("ptr"),
+                     F.when(F.col("a.open"), F.col("b.open")).otherwise(F.lit(False)).alias("open")))
 
 
 def _resolve_acyclic(ptr: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Jump until a round resolves nothing new; returns (id, ptr) for all edge ids."""
-    ptr = reliable_checkpoint(ptr)
-    prev = _unresolved(ptr, edges).count()
+    """Jump until a round resolves nothing new; returns (id, ptr, open) for all edge ids."""
+    ptr = reliable_checkpoint(_flagged(ptr, edges))
+    prev = ptr.filter("open").count()
     for _ in range(max_rounds):
         if prev == 0:
             break
         ptr = reliable_checkpoint(_jump(ptr))
-        cur = _unresolved(ptr, edges).count()
+        cur = ptr.filter("open").count()
         if cur == prev:
             break
         prev = cur
@@ -59,12 +64,13 @@ def root_pointers(edges: DataFrame) -> DataFrame:
               .groupBy("id").agg(F.max("parent").alias("parent")))   # duplicate ids: one parent
     e = reliable_checkpoint(e)
     ptr = _resolve_acyclic(e.select("id", F.col("parent").alias("ptr")), e)
-    stuck = _unresolved(ptr, e)
+    stuck = ptr.filter("open")
     if stuck.limit(1).count() == 0:
         return ptr.select("id", F.col("ptr").alias("root"))
 
-    # Cycle handling on the (normally tiny) unresolved remainder.
-    resolved = ptr.join(stuck.select("id"), "id", "left_anti")
+    # Cycle handling on the (normally tiny) unresolved remainder: every pointer
+    # of a stuck node targets another stuck node, so the jumps stay inside it.
+    resolved = ptr.filter(~F.col("open"))
     cur = reliable_checkpoint(stuck)
     prev = cur.select("ptr").distinct().count()
     while True:
