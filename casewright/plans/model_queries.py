@@ -60,3 +60,20 @@ def q_tfidf(spark, sf_dir):
     v = I.hashed_tfidf(d)
     return v.select("doc_id", F.size(F.array_distinct("_terms")).cast("long").alias("n_terms"),
                     F.size("_uni").cast("long").alias("n_tokens"))
+
+
+@query("retrieved_intent_metrics", "M5 A11 T1")
+def q_retrieved_intents(spark, sf_dir):
+    """The retrieved cases' texts are labelled by the LR intent model (fitted on
+    the train split) and compared with the query document's own label."""
+    from casewright.operators.metrics import retrieval_metrics
+    from casewright.plans.vector_queries import knn_result
+    s = _split(spark, sf_dir).select("tweet_id", "text", "intent", "split").cache()
+    models = I.train_models(s.filter(F.col("split") == "train"), FX.DOC_TAXONOMY, with_svm=False)
+    docs = FX.labelled_docs(spark, sf_dir)
+    hits = knn_result(spark, sf_dir).select("query_id", "rank", "case_id", "similarity")
+    texts = docs.select(F.col("tweet_id").alias("case_id"), "text")
+    scored = I.score_texts(models, hits.join(texts, "case_id"), out_col="case_label").drop("text")
+    truth = docs.select(F.col("tweet_id").alias("query_id"), F.col("intent").alias("query_label"))
+    return retrieval_metrics(FX.vec_queries(spark, sf_dir).select("query_id"),
+                             scored.join(truth, "query_id"), "query_label")
