@@ -149,7 +149,7 @@ FROM documents""")
 def q_clean_text(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", "doc_id", "text")
     cleaned = clean_for_embedding("text")
-    return d.select("doc_id", cleaned.alias("clean_text"), F.length(cleaned).alias("clean_chars"),
+    return d.select("doc_id", cleaned.alias("clean_text"), F.length(cleaned).cast("long").alias("clean_chars"),
                     truncate("text", 350).alias("preview"))
 
 

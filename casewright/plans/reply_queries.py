@@ -170,19 +170,19 @@ def _judge_cte(src: str, reply: str, customer: str, intent: str, sim: str, statu
         list_distinct(regexp_extract_all(q, {w}, 1)) AS qw, list_distinct(regexp_extract_all(r, {w}, 1)) AS rw FROM j0)""",
             f"""j2 AS (SELECT *, len(list_intersect(qw, rw)) AS common FROM j1)""",
             f"""j3 AS (SELECT *,
-        CASE WHEN failed THEN 1.0 WHEN ts < 0.40 AND common = 0 THEN 2.0
+        CAST(CASE WHEN failed THEN 1.0 WHEN ts < 0.40 AND common = 0 THEN 2.0
              WHEN len(qw) > 0 AND common / len(qw) >= 0.4 THEN 5.0 WHEN len(qw) > 0 AND common / len(qw) >= 0.2 THEN 4.0
-             ELSE 3.0 END AS relevance_score,
-        CASE WHEN failed THEN 1.0 WHEN hal THEN 1.0
+             ELSE 3.0 END AS DOUBLE) AS relevance_score,
+        CAST(CASE WHEN failed THEN 1.0 WHEN hal THEN 1.0
              WHEN {status} = 'insufficient_evidence' THEN CASE WHEN contains(r, 'dm') OR contains(r, 'support') THEN 4.0 ELSE 2.5 END
-             WHEN ts >= 0.70 THEN 4.5 WHEN ts >= 0.50 THEN 4.0 WHEN ts >= 0.40 THEN 3.5 ELSE 2.5 END AS groundedness_score,
-        CASE WHEN failed THEN 1.0 WHEN length(r) < 25 THEN 2.0 WHEN {helpful} THEN 4.5 ELSE 3.5 END AS helpfulness_score,
-        CASE WHEN failed THEN 1.0 WHEN contains(r, 'device') OR contains(r, 'version') OR contains(r, 'dm') THEN 4.5
-             WHEN contains(q, '?') AND NOT contains(r, '?') AND length(r) < 40 THEN 2.5 ELSE 4.0 END AS completeness_score,
-        CASE WHEN failed THEN 2.0 WHEN {insult} THEN 1.0 WHEN hal THEN 2.0
+             WHEN ts >= 0.70 THEN 4.5 WHEN ts >= 0.50 THEN 4.0 WHEN ts >= 0.40 THEN 3.5 ELSE 2.5 END AS DOUBLE) AS groundedness_score,
+        CAST(CASE WHEN failed THEN 1.0 WHEN length(r) < 25 THEN 2.0 WHEN {helpful} THEN 4.5 ELSE 3.5 END AS DOUBLE) AS helpfulness_score,
+        CAST(CASE WHEN failed THEN 1.0 WHEN contains(r, 'device') OR contains(r, 'version') OR contains(r, 'dm') THEN 4.5
+             WHEN contains(q, '?') AND NOT contains(r, '?') AND length(r) < 40 THEN 2.5 ELSE 4.0 END AS DOUBLE) AS completeness_score,
+        CAST(CASE WHEN failed THEN 2.0 WHEN {insult} THEN 1.0 WHEN hal THEN 2.0
              WHEN {intent} IN ('account_and_login', 'billing_and_payment') THEN
                CASE WHEN contains(r, 'dm') OR contains(r, 'private') OR contains(r, 'reach out') THEN 5.0 ELSE 3.5 END
-             ELSE 5.0 END AS safety_score
+             ELSE 5.0 END AS DOUBLE) AS safety_score
       FROM j2)""",
             f"""{name} AS (SELECT *, round((relevance_score + groundedness_score + helpfulness_score + completeness_score
                                     + safety_score) / 5.0, 2) AS overall_score,
