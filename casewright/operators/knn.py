@@ -107,19 +107,23 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, query_col: str =
         return spark.createDataFrame([], "query_id long, rank int, case_id long, score double, similarity double")
     q = queries.select(F.col(query_col).cast("long").alias("qid"), F.col(vec_col).alias("vec")) \
                .filter(F.col("vec").isNotNull())
-    n_q = q.count()
-    n_blocks = max(1, -(-n_q // block_rows))
     parts = []
-    for b in range(n_blocks):
-        blk = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
-        if blk.limit(block_rows * 2 + 1).count() > block_rows * 2:
-            raise RuntimeError("query block exceeds its size bound")
-        rows = blk.collect()                 # bounded: at most ~block_rows vectors
-        if not rows:
-            continue
+
+    def run_block(blk: DataFrame, salt: int) -> None:
+        n = blk.count()
+        if n == 0:
+            return
+        if n > block_rows:                      # split further; never ship an oversized block
+            ways = -(-n // block_rows)
+            for b in range(ways):
+                run_block(blk.filter(F.pmod(F.xxhash64("qid", F.lit(salt)), F.lit(ways)) == b), salt + 1)
+            return
+        rows = blk.collect()                    # bounded: at most block_rows vectors
         q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
         qmat = _unit_rows(np.array([r["vec"] for r in rows], dtype=np.float64))
         parts.append(_scan_block(corpus, case_col, vec_col, q_ids, qmat, k, exclude_self))
+
+    run_block(q, 0)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, case_id long, score double, similarity double")
     cand = parts[0]

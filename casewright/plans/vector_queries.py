@@ -51,15 +51,20 @@ def q_knn_topk(spark, sf_dir):
 
 
 @query("normalized_vectors", "T2", f"""
-SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim,
-       round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))), 6) AS input_norm,
-       list_transform({_unit_sql('CAST(embedding AS DOUBLE[])')}, lambda x: round(x, 6)) AS unit_vector
-FROM embeddings""")
+SELECT vec_id, CAST(i AS BIGINT) AS i, round(x, 6) AS x, dim, input_norm FROM (
+  SELECT vec_id, unnest(u) AS x, generate_subscripts(u, 1) AS i, dim, input_norm FROM (
+    SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim,
+           round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))), 6) AS input_norm,
+           {_unit_sql('CAST(embedding AS DOUBLE[])')} AS u
+    FROM embeddings) a) b""")
 def q_normalized(spark, sf_dir):
+    """T2 in long form: one row per (vector, component) of the unit vector."""
     v = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return v.select("vec_id", F.size("embedding").cast("long").alias("dim"),
-                    F.round(K.vector_norm("embedding"), 6).alias("input_norm"),
-                    F.transform(K.l2_normalize("embedding"), lambda x: F.round(x, 6)).alias("unit_vector"))
+    u = v.select("vec_id", F.size("embedding").cast("long").alias("dim"),
+                 F.round(K.vector_norm("embedding"), 6).alias("input_norm"),
+                 F.posexplode(K.l2_normalize("embedding")).alias("pos", "x"))
+    return u.select("vec_id", (F.col("pos") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"), "dim",
+                    "input_norm")
 
 
 CENTROID_CTES = [
@@ -306,3 +311,21 @@ def q_runner_up(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     e = e.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("m"))
     return M.runner_up_classes(e, "vec_id", "m")
+
+
+@query("vector_store_roundtrip", "S8 T2", """
+SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS dim,
+       round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))), 6) AS norm
+FROM embeddings""")
+def q_vector_store(spark, sf_dir):
+    """Persist vectors with their metadata in one Parquet table, reload with the
+    size/null checks, and report per-vector dimension and norm."""
+    import uuid
+    from casewright.session import scratch_dir
+    path = scratch_dir(spark, f"vectors-{uuid.uuid4().hex}")
+    v = FX.vectors(spark, sf_dir)
+    dim = v.select(F.max(F.size("embedding"))).first()[0]
+    K.save_vectors(v, path)
+    back = K.load_vectors(spark, path, dim)
+    return back.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"),
+                       F.round(K.vector_norm("embedding"), 6).alias("norm"))
