@@ -329,3 +329,15 @@ def q_vector_store(spark, sf_dir):
     back = K.load_vectors(spark, path, dim)
     return back.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"),
                        F.round(K.vector_norm("embedding"), 6).alias("norm"))
+
+
+@query("weakest_retrievals", "W8 W9 A13", _with_knn("""
+SELECT query_id, query_label, case_id AS top1_case_id, similarity AS top1_similarity FROM knn
+WHERE rank = 1 ORDER BY similarity, query_id LIMIT 20"""))
+def q_weakest(spark, sf_dir):
+    """Top-n report: the 20 queries whose best match is weakest (the limit is the
+    report; it plans as a distributed top-n, not a global sort)."""
+    top1 = knn_result(spark, sf_dir).filter(F.col("rank") == 1)
+    return (top1.select("query_id", "query_label", F.col("case_id").alias("top1_case_id"),
+                        F.col("similarity").alias("top1_similarity"))
+                .orderBy("top1_similarity", "query_id").limit(20))
