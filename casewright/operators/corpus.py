@@ -44,24 +44,44 @@ def brand_replies(tweets: DataFrame, brand: str) -> DataFrame:
                   .withColumn("in_response_to_tweet_id", F.col("in_response_to_tweet_id").cast("long")))
 
 
-def merge_multipart_replies(replies: DataFrame) -> DataFrame:
+def merge_multipart_replies(replies: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """A1: one row per answered tweet; parts ordered by (time nulls last, id).
 
     ids joined with ',', stripped non-blank texts joined with newline, and the
     first non-null ``created_at`` string.
+
+    Two phases, so a parent holding a third of all replies is never sorted or
+    collected by one task: replies are range-partitioned on the full sort key
+    (a hot parent spans many partitions, each a contiguous run of its parts),
+    each (parent, partition) chunk builds its ordered partial strings, and the
+    final step joins at most one partial per partition. Only that final row
+    (the output itself) is as large as the group.
     """
+    spark = replies.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ts = parse_tweet_time("created_at")
-    part = F.struct(ts.isNull().alias("ts_null"), ts.alias("ts"), F.col("tweet_id").cast("long").alias("id"),
-                    F.col("text").alias("text"), F.col("created_at").alias("created_at"))
-    g = (replies.groupBy(F.col("in_response_to_tweet_id").alias("customer_tweet_id"))
-                .agg(F.array_sort(F.collect_list(part)).alias("parts")))
-    texts = F.filter(F.transform("parts", lambda p: py_strip(p["text"])), lambda t: t.isNotNull() & (t != ""))
-    return g.select(
+    r = replies.select(F.col("in_response_to_tweet_id").alias("customer_tweet_id"), ts.isNull().alias("ts_null"),
+                       ts.alias("ts"), F.col("tweet_id").cast("long").alias("id"),
+                       py_strip("text").alias("text"), "created_at")
+    chunked = (r.repartitionByRange(n, "customer_tweet_id", "ts_null", "ts", "id")
+                .withColumn("_chunk", F.spark_partition_id()))
+    part = F.struct("ts_null", "ts", "id", "text", "created_at")
+    p1 = (chunked.groupBy("customer_tweet_id", "_chunk")
+                 .agg(F.array_sort(F.collect_list(part)).alias("parts"))
+                 .select("customer_tweet_id", "_chunk",
+                         F.array_join(F.transform("parts", lambda p: p["id"].cast("string")), ",").alias("ids"),
+                         F.array_join(F.filter(F.transform("parts", lambda p: p["text"]),
+                                               lambda t: t.isNotNull() & (t != "")), "\n").alias("texts"),
+                         F.element_at(F.filter("parts", lambda p: p["created_at"].isNotNull()), 1)["created_at"]
+                          .alias("created")))
+    p2 = p1.groupBy("customer_tweet_id").agg(
+        F.array_sort(F.collect_list(F.struct("_chunk", "ids", "texts", "created"))).alias("chunks"))
+    return p2.select(
         "customer_tweet_id",
-        F.array_join(F.transform("parts", lambda p: p["id"].cast("string")), ",").alias("support_tweet_id"),
-        F.array_join(texts, "\n").alias("support_text"),
-        F.element_at(F.filter("parts", lambda p: p["created_at"].isNotNull()), 1)["created_at"]
-         .alias("support_created_at"),
+        F.array_join(F.transform("chunks", lambda c: c["ids"]), ",").alias("support_tweet_id"),
+        F.array_join(F.filter(F.transform("chunks", lambda c: c["texts"]), lambda t: t != ""), "\n")
+         .alias("support_text"),
+        F.element_at(F.filter("chunks", lambda c: c["created"].isNotNull()), 1)["created"].alias("support_created_at"),
     )
 
 
