@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.functions.text import clean_for_embedding, norm_key, truncate
+from casewright.functions.text import clean_for_embedding, truncate
 from casewright.operators import corpus as C
 from casewright.operators.admission import admit_messages
 from casewright.operators.graph import conversation_roots

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from casewright.operators import corpus as C
 from casewright.operators import knn as K
 from casewright.plans.catalog import query
 from casewright.plans.corpus_queries import q_dedup

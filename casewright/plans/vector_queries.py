@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.functions.text import word_count  # noqa: F401
 from casewright.operators import knn as K
 from casewright.operators import metrics as M
 from casewright.plans.catalog import query

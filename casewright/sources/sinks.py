@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TWEET_SCHEMA = ("tweet_id long, author_id string, inbound boolean, created_at string, text string, "
                 "response_tweet_id string, in_response_to_tweet_id long")
