@@ -90,6 +90,28 @@ def _regex_escape(s: str) -> str:
     return "".join("\\" + ch if ch in ".^$*+?()[]{}|\\" else ch for ch in s)
 
 
+def trie_pattern(words: list[str]) -> str:
+    """An alternation of ``words`` factored by common prefixes (Java regex
+    does not build a trie itself), so each text position tries only the
+    branch that matches its first character."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        end = "" in node
+        branches = [_regex_escape(ch) + emit(child) for ch, child in sorted(node.items()) if ch != ""]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+        return f"(?:{body})?" if end else body
+
+    return "(?:" + emit(tree) + ")"
+
+
 def ordered_keywords(keywords: list[str]) -> list[str]:
     """Longest first; equal lengths alphabetical (a stable, documented order)."""
     return sorted(set(keywords), key=lambda k: (-len(k), k))
@@ -103,7 +125,7 @@ def first_keyword(text: Column, keywords: list[str]) -> Column:
     """
     low = F.lower(F.coalesce(text, F.lit("")))
     kws = ordered_keywords(keywords)
-    any_pat = whole_word_pattern("(?:" + "|".join(_regex_escape(k) for k in kws) + ")")
+    any_pat = whole_word_pattern(trie_pattern(kws))
     chain = F.coalesce(*[F.when(low.rlike(whole_word_pattern(_regex_escape(k))), F.lit(k)) for k in kws])
     return F.when(low.rlike(any_pat), chain)
 
