@@ -247,8 +247,8 @@ def etl_audit(tweets: DataFrame, golden: DataFrame | None, brand: str) -> DataFr
     pairs = marked.agg(F.count(F.lit(1)).alias("4_pairs"), F.count_if(~leak).alias("5_after_leakage"),
                        F.count_if(kept).alias("6_after_quarantine"),
                        F.count_distinct(F.when(kept, F.col("_key"))).alias("7_final_cases"))
-    both = raw.join(pairs, how="inner", on=F.lit(True))          # two single-row aggregates
-    names = ["1_raw_tweets", "2_customer_tweets", "3_brand_tweets", "4_pairs", "5_after_leakage",
-             "6_after_quarantine", "7_final_cases"]
-    stack = ", ".join(f"'{n}', CAST(`{n}` AS BIGINT)" for n in names)
-    return both.selectExpr(f"stack({len(names)}, {stack}) AS (stage, n)")
+    def as_rows(one_row: DataFrame) -> DataFrame:
+        cols = one_row.columns
+        stack = ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in cols)
+        return one_row.selectExpr(f"stack({len(cols)}, {stack}) AS (stage, n)")
+    return as_rows(raw).unionByName(as_rows(pairs))

@@ -65,12 +65,16 @@ def classification_summary(preds: DataFrame, truth: str = "truth", pred: str = "
         r4(F.sum(F.col("f1") * F.col("support")) / n).alias("weighted_f1"))
 
 
-def per_class_metrics(preds: DataFrame, labels: DataFrame, truth: str = "truth", pred: str = "pred",
+def per_class_metrics(preds: DataFrame, labels: list, truth: str = "truth", pred: str = "pred",
                       model: str = "model") -> DataFrame:
-    """P/R/F1/support on the full label set (zero rows for absent labels)."""
+    """P/R/F1/support on the full label set (zero rows for absent labels).
+
+    The (model, label) grid is the distinct models with the label list
+    exploded onto each (the taxonomy is a short literal list)."""
     c = label_counts(preds, truth, pred, model)
-    models = preds.select(model).distinct()
-    grid = models.join(F.broadcast(labels.select("label")), how="inner", on=F.lit(True))
+    lab_type = preds.schema[truth].dataType
+    grid = preds.select(model).distinct().select(
+        model, F.explode(F.array(*[F.lit(v).cast(lab_type) for v in labels])).alias("label"))
     full = grid.join(c, [model, "label"], "left").na.fill(0, ["support", "predicted", "tp"])
     p = _prf(full)
     return p.select(model, "label", r4("precision").alias("precision"), r4("recall").alias("recall"),
@@ -84,10 +88,8 @@ def confusion_matrix(preds: DataFrame, labels: list, truth: str = "truth", pred:
                .pivot(pred, labels).agg(F.count(F.lit(1))).na.fill(0))
     for v in labels:
         cm = cm.withColumnRenamed(str(v), f"pred_{v}")
-    spark = preds.sparkSession
-    lab = spark.createDataFrame([(v,) for v in labels], ["true_label"])
-    lab = lab.withColumn("true_label", F.col("true_label").cast(preds.schema[truth].dataType))
-    grid = preds.select(model).distinct().join(F.broadcast(lab), how="inner", on=F.lit(True))
+    grid = preds.select(model).distinct().select(
+        model, F.explode(F.array(*[F.lit(v).cast(preds.schema[truth].dataType) for v in labels])).alias("true_label"))
     out = grid.join(cm, [model, "true_label"], "left").na.fill(0)
     return out.select(model, "true_label", *[F.col(f"pred_{v}").cast("long").alias(f"pred_{v}") for v in labels])
 
@@ -168,19 +170,23 @@ def relevance_label(sim) -> Column:
 def relevance_precision_row(hits: DataFrame, query_col: str = "query_id") -> DataFrame:
     """Row-weighted strict/lenient P@1, P@3; hit@3 = >=1 strict in top 3."""
     lab = hits.withColumn("rel", relevance_label("similarity"))
-    strict = (F.col("rel") == "relevant").cast("int")
-    lenient = F.col("rel").isin("relevant", "partially_relevant").cast("int")
+    strict = (F.col("rel") == "relevant").cast("long")
+    lenient = F.col("rel").isin("relevant", "partially_relevant").cast("long")
     r1, r3 = F.col("rank") == 1, F.col("rank") <= 3
-    per_q = lab.groupBy(query_col).agg(F.max(F.when(r3, strict)).alias("hit"))
-    rows = lab.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        r4(F.coalesce(F.avg(F.when(r1, strict)), F.lit(0.0))).alias("strict_p_at_1"),
-        r4(F.coalesce(F.avg(F.when(r3, strict)), F.lit(0.0))).alias("strict_p_at_3"),
-        r4(F.coalesce(F.avg(F.when(r1, lenient)), F.lit(0.0))).alias("lenient_p_at_1"),
-        r4(F.coalesce(F.avg(F.when(r3, lenient)), F.lit(0.0))).alias("lenient_p_at_3"))
-    q = per_q.agg(F.count(F.lit(1)).alias("n_queries"),
-                  r4(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(0.0))).alias("hit_rate_at_3"))
-    return rows.join(q, how="inner", on=F.lit(True))
+    # two-level aggregate: per-query numerators/denominators, then sums of them
+    # (row-weighted precision = sum of counts / sum of denominators)
+    per_q = lab.groupBy(query_col).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(r1).alias("d1"), F.sum(F.when(r1, strict)).alias("s1"), F.sum(F.when(r1, lenient)).alias("l1"),
+        F.count_if(r3).alias("d3"), F.sum(F.when(r3, strict)).alias("s3"), F.sum(F.when(r3, lenient)).alias("l3"),
+        F.max(F.when(r3, strict)).alias("hit"))
+    ratio = lambda a, b: r4(F.coalesce(F.try_divide(F.sum(a).cast("double"), F.sum(b)), F.lit(0.0)))
+    return per_q.agg(
+        F.sum("rows").cast("long").alias("n_rows"),
+        ratio("s1", "d1").alias("strict_p_at_1"), ratio("s3", "d3").alias("strict_p_at_3"),
+        ratio("l1", "d1").alias("lenient_p_at_1"), ratio("l3", "d3").alias("lenient_p_at_3"),
+        F.count(F.lit(1)).alias("n_queries"),
+        r4(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(0.0))).alias("hit_rate_at_3"))
 
 
 def relevance_precision_query(hits: DataFrame, query_col: str = "query_id") -> DataFrame:

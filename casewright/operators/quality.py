@@ -53,9 +53,10 @@ def check_case_contract(cases: DataFrame) -> None:
 def class_distribution(df: DataFrame, taxonomy: DataFrame, label_col: str = "intent") -> DataFrame:
     """A2 + J10: count and percent (2 dp) per taxonomy class, zero-filled, in taxonomy order."""
     counts = df.groupBy(F.col(label_col).alias("intent")).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    # total over the per-label rows (one row per label, null label included)
+    counts = counts.withColumn("_n", F.sum("count").over(Window.partitionBy()))
     dist = taxonomy.join(F.broadcast(counts.filter(F.col("intent").isNotNull())), "intent", "left")
-    dist = dist.join(F.broadcast(total), how="inner", on=F.lit(True))
+    dist = dist.withColumn("_n", F.coalesce(F.col("_n"), F.max("_n").over(Window.partitionBy())))
     cnt = F.coalesce(F.col("count"), F.lit(0)).cast("long")
     pct = F.when(F.col("_n") > 0, F.round(cnt * 100.0 / F.col("_n"), 2)).otherwise(F.lit(0.0))
     return dist.select("ord", "intent", cnt.alias("count"), pct.alias("percentage"))
@@ -102,7 +103,7 @@ def golden_report(df: DataFrame, taxonomy: DataFrame, expected_rows: int | None
     dups = duplicate_rows(df, id_col, text_col).groupBy().agg(
         F.count_if(F.col("dup_kind") == "tweet_id").alias("duplicate_id_rows"),
         F.count_if(F.col("dup_kind") == "text").alias("duplicate_text_rows"))
-    r = counts.join(dups, how="inner", on=F.lit(True))
+    r = combine_scalar_rows([counts, dups])
     row_ok = F.lit(True) if expected_rows is None else (F.col("row_count") == F.lit(expected_rows))
     failed = [~row_ok, F.col("empty_text") > 0, F.col("empty_intent") > 0, F.col("invalid_classes") > 0,
               F.col("duplicate_id_rows") > 0, F.col("duplicate_text_rows") > 0]
@@ -132,13 +133,29 @@ def report_sample_ids(df: DataFrame, id_col: str = "tweet_id", text_col: str = "
 
 
 def report_json(report: DataFrame, distribution: DataFrame, samples: DataFrame) -> DataFrame:
-    """The nested validation report as one JSON string."""
+    """The validation report as JSON lines, one record per section
+    (checks, class distribution, sample ids); every section is bounded."""
+    checks = report.select(F.lit("checks").alias("section"), F.to_json(F.struct(*report.columns)).alias("body"))
     dist = distribution.groupBy().agg(
-        F.map_from_entries(F.collect_list(F.struct("intent", F.struct("count", "percentage")))).alias("class_distribution"))
-    ids = samples.groupBy("check").agg(F.sort_array(F.collect_list("tweet_id")).alias("ids")) \
-                 .groupBy().agg(F.map_from_entries(F.collect_list(F.struct("check", "ids"))).alias("sample_ids"))
-    j = report.join(dist, how="inner", on=F.lit(True)).join(ids, how="left", on=F.lit(True))
-    return j.select(F.to_json(F.struct(*[F.col(c) for c in j.columns])).alias("report"))
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("intent", F.struct("count", "percentage")))))
+         .alias("body")).select(F.lit("class_distribution").alias("section"), "body")
+    ids = (samples.groupBy("check").agg(F.sort_array(F.collect_list("tweet_id")).alias("ids"))
+                  .groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("check", "ids")))).alias("body"))
+                  .select(F.lit("sample_ids").alias("section"), "body"))
+    return checks.unionByName(dist).unionByName(ids)
+
+
+def combine_scalar_rows(frames: list[DataFrame]) -> DataFrame:
+    """Put the columns of several single-row aggregates side by side without
+    a join: stack each into (name, value) rows, union, fold back into one row."""
+    long = None
+    for f in frames:
+        cols = f.columns
+        part = f.selectExpr(f"stack({len(cols)}, " + ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in cols)
+                            + ") AS (name, value)")
+        long = part if long is None else long.unionByName(part)
+    names = [c for f in frames for c in f.columns]
+    return long.groupBy().agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in names])
 
 
 def label_review_agreement(review: DataFrame, label_a: str = "candidate_intent",

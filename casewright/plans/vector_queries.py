@@ -263,8 +263,7 @@ SELECT m.model, CAST(l.label AS BIGINT) AS label, round(coalesce(p.precision, 0)
 FROM (SELECT DISTINCT model FROM preds) m CROSS JOIN (SELECT unnest(range(10)) AS label) l
 LEFT JOIN prf p ON p.model = m.model AND p.label = l.label""", COUNTS_CTES))
 def q_per_class(spark, sf_dir):
-    labels = spark.createDataFrame([(v,) for v in LABELS], "label long")
-    return M.per_class_metrics(knn_predictions(spark, sf_dir), labels)
+    return M.per_class_metrics(knn_predictions(spark, sf_dir), LABELS)
 
 
 @query("confusion_matrix", "A10", _with_knn("SELECT m.model, CAST(l.label AS BIGINT) AS true_label, " + ", ".join(
