@@ -181,17 +181,34 @@ def hash_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
 
 
+ROWS_PER_BUCKET = 100_000
+
+
+def prefix_length(max_group_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex characters of the hash prefix so that one bucket of the largest
+    group holds about ``rows_per_bucket`` rows (1..8 characters)."""
+    import math
+    need = max(1.0, max_group_rows / rows_per_bucket)
+    return max(1, min(8, math.ceil(math.log(need, 16))))
+
+
 def take_per_group(df: DataFrame, group_col: str, quotas: DataFrame, id_col: str, seed: int,
-                   prefix_chars: int = 4) -> DataFrame:
+                   prefix_chars: int | None = None) -> DataFrame:
     """Exact top-``quota`` rows per group in (md5 key, id) order, without a
     per-group window over whole groups.
 
     A histogram of hash prefixes per group (an aggregate, combined
     map-side) locates the one boundary bucket per group; rows of buckets
     below it are taken whole, rows above are dropped, and only the
-    boundary bucket (~1/16^prefix of the group) is ranked with a window.
-    ``quotas(group, quota)`` has one row per group.
+    boundary bucket is ranked with a window. The prefix length adapts to
+    the largest group (one extra count aggregate), so the boundary bucket
+    stays around ``ROWS_PER_BUCKET`` rows even for a group holding a third
+    of all rows. ``quotas(group, quota)`` has one row per group.
     """
+    if prefix_chars is None:
+        biggest = (df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
+                     .agg(F.max("_n").alias("m")).first()["m"] or 0)
+        prefix_chars = prefix_length(biggest)
     keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, prefix_chars))
     hist = keyed.groupBy(group_col, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(group_col).orderBy("_b")
