@@ -43,3 +43,22 @@ def test_random_forests_with_cycles(spark):
             if r < 0.7:
                 edges.append((i, rng.randrange(n + 10)))      # may point at an id without a row
         assert run(spark, edges, ids) == brute_roots(edges, ids)
+
+
+def test_roots_match_spark_recursive_cte(spark):
+    """Cross-check on the tweets view (acyclic): pointer jumping == a recursive CTE walk."""
+    from casewright.sources import fixtures as FX
+    from conftest import SF_SMALL
+    tw = FX.tweets(spark, SF_SMALL)
+    tw.select("tweet_id", "in_response_to_tweet_id").createOrReplaceTempView("cw_edges")
+    rec = spark.sql("""
+        WITH RECURSIVE walk(start, cur, depth) AS (
+          SELECT tweet_id, tweet_id, 0 FROM cw_edges
+          UNION ALL
+          SELECT w.start, e.in_response_to_tweet_id, w.depth + 1
+          FROM walk w JOIN cw_edges e ON e.tweet_id = w.cur
+          WHERE e.in_response_to_tweet_id IS NOT NULL)
+        SELECT start AS tweet_id, max_by(cur, depth) AS conversation_id FROM walk GROUP BY start""")
+    got = {r[0]: r[1] for r in conversation_roots(tw).collect()}
+    exp = {r[0]: r[1] for r in rec.collect()}
+    assert got == exp and len(got) == tw.count()
