@@ -28,10 +28,6 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def zero_if_null(c):
-    return F.coalesce(c, F.lit(0.0))
-
-
 def safe_ratio(num, den):
     """Undefined ratio -> 0.0 (``zero_division=0``)."""
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))

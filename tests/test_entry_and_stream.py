@@ -56,13 +56,9 @@ def test_stream_equals_batch(spark):
     expected = batch.join(admitted, "msg_id", "left_semi")
     assert stream.count() == expected.count()
     assert stream.exceptAll(expected.select(*stream.columns)).count() == 0
-    stats = qs["stream_stats"](spark, SF_SMALL).first()
-    assert stats["analysed"] == FX_count(spark)
-
-
-def FX_count(spark):
     from casewright.sources import fixtures as FX
-    return FX.signals(spark, SF_SMALL).count()
+    stats = qs["stream_stats"](spark, SF_SMALL).first()
+    assert stats["analysed"] == FX.signals(spark, SF_SMALL).count()
 
 
 def test_corpus_contract_and_no_leakage(spark):
