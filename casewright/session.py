@@ -34,6 +34,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def suggest_shuffle_partitions(input_bytes: int, target_bytes: int = 256 << 20, minimum: int = 1) -> int:
+    """Shuffle partitions sized so each holds about ``target_bytes`` of input
+    (e.g. 100 TB -> ~400k partitions at 256 MB); AQE then coalesces small ones."""
+    return max(minimum, -(-int(input_bytes) // target_bytes))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only if unset.
 

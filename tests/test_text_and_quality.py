@@ -65,3 +65,11 @@ def test_golden_report_flags_duplicates(spark):
     assert (r["empty_text"], r["empty_intent"]) == (1, 1)
     missing = Q.golden_report(df.drop("intent"), FX.taxonomy(spark)).first()
     assert missing["missing_columns"] == "intent"
+
+
+def test_profile_approximate_close_to_exact(spark):
+    cases = FX.docs_cases(spark, SF_SMALL)
+    exact = Q.corpus_profile(cases).first()
+    approx = Q.corpus_profile(cases, approximate=True).first()
+    for c in ("distinct_customer_ids", "distinct_customer_texts", "distinct_replies"):
+        assert abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c])
