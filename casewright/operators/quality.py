@@ -62,7 +62,8 @@ def class_distribution(df: DataFrame, taxonomy: DataFrame, label_col: str = "int
     counts = df.groupBy(F.col(label_col).alias("intent")).agg(F.count(F.lit(1)).alias("count"))
     # total over the per-label rows (one row per label, null label included)
     counts = counts.withColumn("_n", F.sum("count").over(Window.partitionBy()))
-    dist = taxonomy.join(F.broadcast(counts.filter(F.col("intent").isNotNull())), "intent", "left")
+    # no broadcast hint: the label column may hold arbitrary (invalid) values, so AQE sizes this join
+    dist = taxonomy.join(counts.filter(F.col("intent").isNotNull()), "intent", "left")
     dist = dist.withColumn("_n", F.coalesce(F.col("_n"), F.max("_n").over(Window.partitionBy())))
     cnt = F.coalesce(F.col("count"), F.lit(0)).cast("long")
     pct = F.when(F.col("_n") > 0, F.round(cnt * 100.0 / F.col("_n"), 2)).otherwise(F.lit(0.0))
