@@ -4,7 +4,8 @@ Plan
 ----
 * The query side is shipped to executors in blocks of at most
   ``block_rows`` vectors (row count checked before anything is collected;
-  a block of 20k x 384 doubles is ~60 MB). Larger query sets run one
+  a block of 20k x 384 doubles is ~60 MB; at most block_rows + 1 rows are
+  ever collected). Larger query sets run one
   distributed pass per block; nothing unbounded passes through the driver.
 * The corpus is streamed through ``mapInPandas``: per Arrow batch one
   float64 GEMM (batch x block), then a local top-k per query with the exact
@@ -110,15 +111,14 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, query_col: str =
     parts = []
 
     def run_block(blk: DataFrame, salt: int) -> None:
-        n = blk.count()
-        if n == 0:
+        rows = blk.limit(block_rows + 1).collect()      # one pass; at most block_rows + 1 vectors
+        if not rows:
             return
-        if n > block_rows:                      # split further; never ship an oversized block
-            ways = -(-n // block_rows)
+        if len(rows) > block_rows:              # split further; never ship an oversized block
+            ways = -(-blk.count() // block_rows)
             for b in range(ways):
                 run_block(blk.filter(F.pmod(F.xxhash64("qid", F.lit(salt)), F.lit(ways)) == b), salt + 1)
             return
-        rows = blk.collect()                    # bounded: at most block_rows vectors
         q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
         qmat = _unit_rows(np.array([r["vec"] for r in rows], dtype=np.float64))
         parts.append(_scan_block(corpus, case_col, vec_col, q_ids, qmat, k, exclude_self))
