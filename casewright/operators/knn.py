@@ -3,10 +3,10 @@
 Plan
 ----
 * The query side is shipped to executors in blocks of at most
-  ``block_rows`` vectors (row count checked before anything is collected;
-  a block of 20k x 384 doubles is ~60 MB; at most block_rows + 1 rows are
-  ever collected). Larger query sets run one
-  distributed pass per block; nothing unbounded passes through the driver.
+  ``block_rows`` vectors: a block is read with ``limit(block_rows + 1)``,
+  so at most that many vectors ever reach the driver (20k x 384 doubles is
+  ~60 MB), and a block over the bound is split by hash and retried. Larger
+  query sets run one distributed pass per block.
 * The corpus is streamed through ``mapInPandas``: per Arrow batch one
   float64 GEMM (batch x block), then a local top-k per query with the exact
   tie-break (score desc, case id asc), so each task emits at most
