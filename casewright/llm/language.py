@@ -1,7 +1,7 @@
 """Language identification: nearest of several clustered centroids per language.
 
-A text is the vector of its byte n-grams (n = 1 to 3, A-Z lower-cased), hashed
-to ``Settings.buckets``, weighted (1 + log tf) * idf and scaled to length 1.
+A text is the vector of its byte n-grams (n = 1 to 3, A-Z lower-cased, other
+ASCII than letters as one blank), hashed to ``Settings.buckets``, weighted (1 + log tf) * idf and scaled to length 1.
 The idf is counted over *all* training texts. Per language, spherical k-means
 over at most ``Settings.sample_rows`` training texts (a documented bound) gives
 ``Settings.clusters`` unit centroids. A text gets the language of the centroid
@@ -53,20 +53,23 @@ class Settings:
     floor_margin: float = 0.8
 
 
-_LOWER = np.arange(256, dtype=np.uint32)
-_LOWER[65:91] += 32
+# Letters stay (A-Z lower-cased, bytes of other scripts as they are); any other ASCII byte is a blank.
+_LETTERS = np.array([ord(chr(b).lower()) if b > 0x7F or chr(b).isalpha() else 0x20 for b in range(256)], dtype=np.uint32)
+_LETTERS[128:] = np.arange(128, 256)
 
 
 def counts(data: np.ndarray, off: np.ndarray, buckets: int) -> np.ndarray:
     """(document, bucket) counts of byte n-grams of one chunk."""
     n_docs = len(off) - 1
-    at, low = np.repeat(np.arange(n_docs, dtype=np.int64) * buckets, np.diff(off)), _LOWER[data]
+    at, low = np.repeat(np.arange(n_docs, dtype=np.int64) * buckets, np.diff(off)), _LETTERS[data]
+    word = (low != 0x20) | np.concatenate([[True], low[:-1] != 0x20])  # one blank at most between words
+    at, low = at[word], low[word]
     found = np.zeros(n_docs * buckets, dtype=np.int64)
-    gram = np.zeros(len(data), dtype=np.uint32)
+    gram = np.zeros(len(low), dtype=np.uint32)
     for n in (1, 2, 3):
-        if len(data) < n:
+        if len(low) < n:
             break
-        gram = gram[:len(data) - n + 1] * np.uint32(257) + low[n - 1:] + np.uint32(1)
+        gram = gram[:len(low) - n + 1] * np.uint32(257) + low[n - 1:] + np.uint32(1)
         inside = at[:len(gram)] == at[n - 1:]
         cell = ((gram * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(buckets)
         found += np.bincount((at[:len(gram)] + cell)[inside], minlength=len(found))
@@ -89,13 +92,11 @@ def _document_frequency(batches: Iterator[pa.RecordBatch], s: Settings) -> Itera
 
 
 def spherical_kmeans(x: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids and each centroid's cosine floor; seeds are spread by farthest cosine."""
-    centre = x.mean(axis=0, keepdims=True)
-    seeds = [int(np.argmax((x @ centre.T)[:, 0]))]
-    nearest = x @ x[seeds[0]]
-    while len(seeds) < min(s.clusters, len(x)):
-        seeds.append(int(np.argmin(nearest)))
-        nearest = np.maximum(nearest, x @ x[seeds[-1]])
+    """Unit centroids and each centroid's cosine floor."""
+    # Seeds at even quantiles of the cosine to the mean: odd texts do not become clusters of their own.
+    spread = np.argsort(x @ x.mean(axis=0), kind="stable")
+    k = min(s.clusters, len(x))
+    seeds = spread[((np.arange(k) + 0.5) * len(x) / k).astype(int)]
     centroids = x[seeds].copy()
     for _ in range(s.iterations):
         own = np.argmax(x @ centroids.T, axis=1)
