@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import toxicity
+from casewright.llm import exact_dedup, toxicity
 from casewright.llm.session import prepare, read, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,7 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("predicted") == 0).select(*COLUMNS)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest original stays."""
+    return exact_dedup.keep(docs).select(*COLUMNS)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies)]
 
 ORACLE_SQL = None
 
