@@ -24,10 +24,14 @@ def training_labels(labels: DataFrame, target: str, k: int) -> DataFrame:
 
 
 def bounded_sample(rows: DataFrame, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` training rows, the ones with the smallest hash of their id: a
-    uniform sample that does not depend on the order of rows. Only (doc_id, label) is moved."""
-    return (rows.withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(7)))
-            .orderBy("_h", "doc_id").limit(max_rows).drop("_h"))
+    """All training rows, or of more than ``max_rows`` those with the smallest hash of their
+    id: a uniform sample that does not depend on the order of rows. Only (doc_id, label) is moved."""
+    n = rows.count()
+    if n <= max_rows:
+        return rows
+    share = min(1.0, 1.2 * max_rows / n + 100 / n)  # leaves a few more rows than the limit takes
+    place = F.xxhash64(F.col("doc_id"), F.lit(7)) / 2.0 ** 64 + 0.5
+    return rows.withColumn("_h", place).where(F.col("_h") <= share).orderBy("_h", "doc_id").limit(max_rows).drop("_h")
 
 
 def with_text(docs: DataFrame, sample: DataFrame) -> DataFrame:

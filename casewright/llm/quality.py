@@ -4,7 +4,9 @@ A text is the set of its n-grams (words cut at white space and word pairs, A-Z
 lower-cased; one word two to eight times in a row as a typed n-gram whatever
 the word; runs of three bytes), hashed to ``Settings.buckets`` indicators. Each indicator is scaled by
 the class log-count ratio r = log((a + pos) / |pos|) - log((a + neg) / |neg|),
-with the document counts taken over *all* labelled rows of the training fold.
+with the document counts taken over the labelled rows of the training fold: all
+of them up to ``Settings.count_rows``, beyond that a uniform sample of so many (a
+documented bound, so that the labels can be broadcast and no text is shuffled).
 The scaled vector has length 1. A linear hinge-loss model is then fitted by
 dual coordinate descent on at most ``Settings.sample_rows`` rows of that fold
 (a documented bound), and its margins become probabilities by a sigmoid whose
@@ -42,8 +44,10 @@ LONGEST_REPEAT = 8
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the rows of the margin fit; ``buckets`` the indicators."""
+    """``count_rows`` bounds the rows of the class counts, ``sample_rows`` those of the margin
+    fit; ``buckets`` is the number of indicators."""
 
+    count_rows: int = 500_000
     sample_rows: int = 10000
     buckets: int = 1 << 16
     folds: int = 5
@@ -188,9 +192,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Counts over every labelled row, then the margin fit on the bounded sample."""
+    """Class counts, then the margin fit on the bounded sample."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = (texts.join(labels, "doc_id").select("label", "text")
+    counts = (L.with_text(texts, L.bounded_sample(labels, s.count_rows)).select("label", "text")
               .mapInArrow(lambda b: _count(b, s), "bucket int, neg long, pos long")
               .groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).collect())
     have, n = np.zeros((2, s.buckets)), np.zeros(2)
