@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["toxicity", "quality", "language", "bpe", "token_counts", "exact_dedup", "warc"]
+MODULES = ["toxicity", "quality", "language", "bpe", "token_counts", "exact_dedup", "warc", "license_scan"]
 
 
 def query(name: str, sql: str | None = None):
