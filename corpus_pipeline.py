@@ -8,10 +8,11 @@ that its predecessor kept; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import exact_dedup, toxicity
+from casewright.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
 from casewright.llm.session import prepare, read, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,7 +29,25 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.keep(docs).select(*COLUMNS)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at similarity 0.8 the smallest doc_id stays."""
+    return near_dedup.keep(docs).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep(docs, read(spark, sf_dir, "benchmark", "item_id", "text")).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded bytes of every document left."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    return encoded.select("doc_id", *bpe.digests(encoded))
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies),
+          ("decontaminate", drop_contaminated), ("byte_bpe", encode)]
 
 ORACLE_SQL = None
 
