@@ -1,22 +1,24 @@
-"""Exact cosine top-k retrieval as a batch Spark job.
+"""Exact cosine top-k retrieval as a tiled Spark join.
 
 Plan
 ----
-* The query side is shipped to executors in blocks of at most
-  ``block_rows`` vectors: a block is read with ``limit(block_rows + 1)``,
-  so at most that many vectors ever reach the driver (20k x 384 doubles is
-  ~60 MB), and a block over the bound is split by hash and retried. Larger
-  query sets run one distributed pass per block.
-* The corpus is streamed through ``mapInPandas``: per Arrow batch one
-  float64 GEMM (batch x block), then a local top-k per query with the exact
-  tie-break (score desc, case id asc), so each task emits at most
-  ``k`` rows per query. Shuffle volume is queries x k x tasks, never
-  queries x corpus.
-* The global merge ranks those candidates per query (bounded group size).
+* Query rows get a row number (two rows with one id stay two queries) and are cut
+  off by a reliable checkpoint; both sides are then dealt into blocks by a hash of
+  the row, so no id or repeated row makes a large block. The number of blocks
+  comes from the row counts: a block holds at most about ``TILE_BYTES`` of
+  vectors, and there are enough tiles to keep all cores busy.
+* Every (query block, corpus block) pair is one tile: the blocks are exploded
+  over the other side's block numbers and equi-joined on the pair. No vector
+  reaches the driver; building the plan reads two counts.
+* A tile is one float64 GEMM, done ``SCORE_ROWS`` queries at a time, with an exact
+  local top-k (score desc, case id asc), so a task holds two blocks and one slab
+  of scores, and emits at most ``k`` rows per query and tile.
+* The merge ranks those candidates per query row (k x corpus blocks at most).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Default number of query vectors shipped to executors per pass.
-QUERY_BLOCK_ROWS = 20_000
+from casewright.operators.common import reliable_checkpoint
+
+# Bytes of one block's vectors, as float64.
+TILE_BYTES = 8 << 20
+# Queries of a tile scored at a time.
+SCORE_ROWS = 512
 
 
 def l2_normalize(c) -> Column:
@@ -48,89 +54,76 @@ def _unit_rows(mat: np.ndarray) -> np.ndarray:
     return mat / norms[:, None]
 
 
-def _local_topk(q_ids: np.ndarray, qmat: np.ndarray, c_ids: np.ndarray, cmat: np.ndarray,
-                k: int, exclude_self: bool) -> pd.DataFrame:
-    """Exact top-k per query within one corpus batch, ties by case id."""
-    scores = qmat @ cmat.T                               # (queries, batch) in float64
-    if exclude_self:
-        scores[q_ids[:, None] == c_ids[None, :]] = -np.inf
+def _local_topk(scores: np.ndarray, case_rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, case) positions of the exact top-k of each row; -inf never wins, ties by ``case_rank``."""
     kk = min(k, scores.shape[1])
-    if kk <= 0:
-        return pd.DataFrame({"query_id": [], "case_id": [], "score": []})
     # threshold = k-th best score per query; keep every candidate >= it (ties
     # at the boundary included), then order exactly and cut at k.
-    kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
-    qi, ci = np.nonzero(scores >= kth[:, None])
-    sc = scores[qi, ci]
-    keep = np.isfinite(sc)
-    qi, ci, sc = qi[keep], ci[keep], sc[keep]
-    order = np.lexsort((c_ids[ci], -sc, qi))
-    qi, ci, sc = qi[order], ci[order], sc[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
-    pos = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
-    sel = pos < kk
-    return pd.DataFrame({"query_id": q_ids[qi[sel]], "case_id": c_ids[ci[sel]], "score": sc[sel]})
-
-
-def _scan_block(corpus: DataFrame, case_col: str, vec_col: str, q_ids: np.ndarray, qmat: np.ndarray,
-                k: int, exclude_self: bool) -> DataFrame:
-    sc = corpus.sparkSession.sparkContext
-    b_ids, b_mat = sc.broadcast(q_ids), sc.broadcast(qmat)
+    kth = np.partition(scores, scores.shape[1] - kk, axis=1)[:, scores.shape[1] - kk]
+    qi, ci = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
+    order = np.lexsort((case_rank[ci], -scores[qi, ci], qi))
+    qi, ci = qi[order], ci[order]
+    starts = np.searchsorted(qi, np.arange(len(scores)))
+    within = np.arange(len(qi)) - starts[qi] < kk
+    return qi[within], ci[within]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qi, qm = b_ids.value, b_mat.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ok = pdf[vec_col].notna().to_numpy()
-            pdf = pdf[ok]
-            if pdf.empty:
-                continue
-            cmat = _unit_rows(np.vstack(pdf[vec_col].to_numpy()).astype(np.float64))
-            yield _local_topk(qi, qm, pdf[case_col].to_numpy(dtype=np.int64), cmat, k, exclude_self)
 
-    return (corpus.select(F.col(case_col).cast("long").alias(case_col), vec_col)
-                  .mapInPandas(score, "query_id long, case_id long, score double"))
+def _blocks(df: DataFrame, key: list[str], n: int, side: str) -> DataFrame:
+    """(block, rows): each row of ``df`` (.., vec) in one of ``n`` blocks by a hash of ``key``."""
+    return (df.groupBy(F.pmod(F.xxhash64(*key), F.lit(n)).cast("int").alias(f"{side}_block"))
+              .agg(F.collect_list(F.struct(*df.columns)).alias(side)))
+
+
+def _block_count(df: DataFrame, vec_col: str, cores: int, tile_bytes: int) -> int:
+    """Blocks of at most about ``tile_bytes``, and enough for ``cores`` tiles when there are rows for them."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("dim")).first()
+    by_bytes = math.ceil(r["n"] * (r["dim"] or 1) * 8 / tile_bytes)
+    return max(1, by_bytes, min(math.ceil(math.sqrt(cores)), math.ceil(r["n"] / 256)))
 
 
 def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, query_col: str = "query_id",
              case_col: str = "case_id", vec_col: str = "embedding", exclude_self: bool = False,
-             block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+             tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Exact cosine top-k: ``(query_id, rank, case_id, score, similarity)``.
 
     ``similarity`` is the score rounded to 4 dp; ``rank`` is 1-based in raw
-    score order (score desc, case id asc). ``k <= 0`` gives no rows; null
-    vectors never match. ``exclude_self`` drops case_id == query_id
-    (leave-one-out evaluation).
+    score order (score desc, case id asc). Ids keep their types (numbers or
+    strings). ``k <= 0`` gives no rows; null vectors never match. Query rows
+    with the same id are separate queries with ranks of their own.
+    ``exclude_self`` drops case_id == query_id (leave-one-out evaluation).
     """
     spark = corpus.sparkSession
+    q_type, c_type = queries.schema[query_col].dataType.simpleString(), corpus.schema[case_col].dataType.simpleString()
     if k <= 0:
-        return spark.createDataFrame([], "query_id long, rank int, case_id long, score double, similarity double")
-    q = queries.select(F.col(query_col).cast("long").alias("qid"), F.col(vec_col).alias("vec")) \
-               .filter(F.col("vec").isNotNull())
-    parts = []
-
-    def run_block(blk: DataFrame, salt: int) -> None:
-        rows = blk.limit(block_rows + 1).collect()      # one pass; at most block_rows + 1 vectors
-        if not rows:
-            return
-        if len(rows) > block_rows:              # split further; never ship an oversized block
-            ways = -(-blk.count() // block_rows)
-            for b in range(ways):
-                run_block(blk.filter(F.pmod(F.xxhash64("qid", F.lit(salt)), F.lit(ways)) == b), salt + 1)
-            return
-        q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        qmat = _unit_rows(np.array([r["vec"] for r in rows], dtype=np.float64))
-        parts.append(_scan_block(corpus, case_col, vec_col, q_ids, qmat, k, exclude_self))
-
-    run_block(q, 0)
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, case_id long, score double, similarity double")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("case_id").asc())
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return spark.createDataFrame([], f"{query_col} {q_type}, rank int, {case_col} {c_type}, score double, similarity double")
+    q = reliable_checkpoint(queries.filter(F.col(vec_col).isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), F.col(query_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
+    c = reliable_checkpoint(corpus.filter(F.col(vec_col).isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), F.col(case_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
+    cores = spark.sparkContext.defaultParallelism
+    n_q, n_c = _block_count(q, "vec", cores, tile_bytes), _block_count(c, "vec", cores, tile_bytes)
+    q_blocks = _blocks(q, ["row"], n_q, "q").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    c_blocks = _blocks(c, ["row"], n_c, "c").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    tiles = q_blocks.join(c_blocks, ["q_block", "c_block"]).select("q", "c")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q_rows, c_rows in zip(batch["q"], batch["c"], strict=True):
+                case_ids = np.array([r["id"] for r in c_rows])
+                case_rank = np.unique(case_ids, return_inverse=True)[1]
+                cmat = _unit_rows(np.array([r["vec"] for r in c_rows], dtype=np.float64))
+                for lo in range(0, len(q_rows), SCORE_ROWS):
+                    part = q_rows[lo:lo + SCORE_ROWS]
+                    ids, rows = np.array([r["id"] for r in part]), np.array([r["row"] for r in part], dtype=np.int64)
+                    scores = _unit_rows(np.array([r["vec"] for r in part], dtype=np.float64)) @ cmat.T
+                    if exclude_self:
+                        scores[ids[:, None] == case_ids[None, :]] = -np.inf
+                    qi, ci = _local_topk(scores, case_rank, k)
+                    yield pd.DataFrame({"row": rows[qi], "query_id": ids[qi], "case_id": case_ids[ci], "score": scores[qi, ci]})
+
+    found = tiles.mapInPandas(score, f"row long, query_id {q_type}, case_id {c_type}, score double")
+    w = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("case_id").asc())
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query_id").alias(query_col), "rank", F.col("case_id").alias(case_col),
                          "score", F.round("score", 4).alias("similarity"))
 
@@ -139,8 +132,7 @@ def attach_case_metadata(hits: DataFrame, corpus: DataFrame, case_col: str = "ca
                          columns: list[str] | None = None) -> DataFrame:
     """Look up case metadata by id (not by position); ids with no case are dropped."""
     cols = columns or [c for c in corpus.columns if c not in (case_col, "embedding")]
-    meta = corpus.select(F.col(case_col).cast("long").alias(case_col), *cols)
-    return hits.join(meta, case_col, "inner")
+    return hits.join(corpus.select(case_col, *cols), case_col, "inner")
 
 
 def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding",
