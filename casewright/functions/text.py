@@ -7,6 +7,9 @@ Unicode sets out so that Spark and the DuckDB oracle agree.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,12 +20,6 @@ NON_WS = WS.replace("[", "[^", 1)
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
 
-# The HTML entities decoded by the cleaner (&amp; last so
-# that "&amp;lt;" decodes once, as a single-pass unescape does).
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -50,11 +47,16 @@ def collapse_ws(c) -> Column:
     return py_strip(F.regexp_replace(_c(c), f"{WS}+", " "))
 
 
+@F.pandas_udf("string")
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def html_unescape(c) -> Column:
-    out = _c(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """All named and numeric HTML references, decoded in a single pass. Only texts
+    with an ampersand are handed to Python (one Arrow batch at a time)."""
+    col = _c(c)
+    return F.coalesce(_unescape(F.when(col.contains("&"), col)), col)
 
 
 def clean_for_embedding(c) -> Column:

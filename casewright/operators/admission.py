@@ -12,17 +12,16 @@ MAX_MESSAGE_CHARS = 2000
 TOP_K_MIN, TOP_K_MAX = 1, 10
 
 
-def admit_messages(df: DataFrame, id_col: str, text_col: str, top_k_col: str | None = None) -> DataFrame:
-    """Flag every message as accepted or rejected with a reason; nothing is dropped."""
+def flag_messages(df: DataFrame, text_col: str, top_k_col: str | None = None) -> DataFrame:
+    """Every row with (accepted, reject_reason); nothing is dropped or joined, so repeated ids stay as they are."""
     msg = py_strip(text_col)
     reason = (F.when(F.col(text_col).isNull() | (msg == ""), F.lit("empty"))
                .when(F.length(msg) > MAX_MESSAGE_CHARS, F.lit("too_long")))
     if top_k_col:
         reason = reason.when(~F.col(top_k_col).between(TOP_K_MIN, TOP_K_MAX), F.lit("bad_top_k"))
-    out = df.select(F.col(id_col), msg.alias("message"), reason.alias("reject_reason"))
-    return out.select(id_col, "message", F.col("reject_reason").isNull().alias("accepted"), "reject_reason")
+    return df.withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
 
 
-def split_admitted(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    flagged = admit_messages(df, id_col, text_col)
-    return flagged.filter("accepted"), flagged.filter(~F.col("accepted"))
+def admit_messages(df: DataFrame, id_col: str, text_col: str, top_k_col: str | None = None) -> DataFrame:
+    """Id, trimmed message and verdict of every message."""
+    return flag_messages(df, text_col, top_k_col).select(F.col(id_col), py_strip(text_col).alias("message"), "accepted", "reject_reason")

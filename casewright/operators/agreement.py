@@ -16,7 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.operators.common import bounded_broadcast
+
 PASS_THRESHOLD = 3.5
+# Distinct (dimension, rating) pairs that are broadcast.
+MAX_RATING_VALUES = 10_000
 MIN_SAMPLES = 3
 MIN_RATING, MAX_RATING = 1, 5
 
@@ -39,7 +43,8 @@ def average_ranks(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     vc = vc.withColumn("_lt", F.coalesce(F.sum("_eq").over(w), F.lit(0)))
     vc = vc.select(group, value, (F.col("_lt") + (F.col("_eq") + 1) / 2.0).alias(out))
-    return df.join(vc, [group, value])
+    # One row per distinct rating of a dimension; broadcast only behind the check of their number.
+    return df.join(bounded_broadcast(vc, MAX_RATING_VALUES), [group, value])
 
 
 def _corr_rule(x: str, y: str) -> Column:

@@ -30,7 +30,7 @@ def parse_tweet_time(c) -> Column:
     """'%a %b %d %H:%M:%S %z %Y' with errors -> null (the weekday is skipped:
     Spark rejects the EEE pattern when parsing)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.try_to_timestamp(F.substring(col, 5, 1 << 20), F.lit("MMM dd HH:mm:ss Z yyyy"))
+    return F.try_to_timestamp(F.substr(col, F.lit(5)), F.lit("MMM dd HH:mm:ss Z yyyy"))
 
 
 def customer_tweets(tweets: DataFrame) -> DataFrame:
@@ -103,12 +103,15 @@ def exclude_leakage(cases: DataFrame, golden: DataFrame, id_col: str = "customer
     a row-count check.
     """
     g_ids = bounded_broadcast(golden.select(F.col("tweet_id").cast("long").alias("_gid")).distinct())
-    g_txt = bounded_broadcast(golden.select(norm_key("text").alias("_gkey"))
-                                    .filter(F.col("_gkey").isNotNull()).distinct())
+    g_txt = bounded_broadcast(_text_digests(golden, "_gkey"))
     out = cases.join(g_ids, F.col(id_col) == F.col("_gid"), "left_anti")
-    return (out.withColumn("_key", norm_key(text_col))
-               .join(g_txt, F.col("_key") == F.col("_gkey"), "left_anti")
-               .drop("_key"))
+    return out.join(g_txt, F.sha2(norm_key(text_col), 256) == F.col("_gkey"), "left_anti")
+
+
+def _text_digests(golden: DataFrame, name: str) -> DataFrame:
+    """SHA-256 of the normalised texts: rows of a fixed width, however long the texts are, so
+    that a bound on rows is a bound on bytes."""
+    return golden.select(F.sha2(norm_key("text"), 256).alias(name)).filter(F.col(name).isNotNull()).distinct()
 
 
 def leakage_overlap(cases: DataFrame, golden: DataFrame, id_col: str = "customer_tweet_id",
@@ -235,9 +238,9 @@ def etl_audit(tweets: DataFrame, golden: DataFrame | None, brand: str) -> DataFr
     if golden is not None:
         g_ids = bounded_broadcast(golden.select(F.col("tweet_id").cast("long").alias("customer_tweet_id"),
                                                 F.lit(True).alias("_lid")).distinct())
-        g_txt = bounded_broadcast(golden.select(norm_key("text").alias("_key"), F.lit(True).alias("_ltx"))
-                                        .filter(F.col("_key").isNotNull()).distinct())
-        marked = marked.join(g_ids, "customer_tweet_id", "left").join(g_txt, "_key", "left")
+        g_txt = bounded_broadcast(_text_digests(golden, "_digest").withColumn("_ltx", F.lit(True)))
+        marked = (marked.join(g_ids, "customer_tweet_id", "left")
+                  .withColumn("_digest", F.sha2("_key", 256)).join(g_txt, "_digest", "left"))
         leak = F.coalesce(F.col("_lid"), F.lit(False)) | F.coalesce(F.col("_ltx"), F.lit(False))
     else:
         leak = F.lit(False)

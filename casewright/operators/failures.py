@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.sources.tables import require_columns
 from casewright.operators.policy import BILLING_ACTION_KEYWORDS, SENSITIVE_ACCOUNT_KEYWORDS, first_keyword
 
 # Bucket names of the failure taxonomy, in report order.
@@ -38,7 +39,7 @@ def display_name(c) -> Column:
     """Mapped name, else each '_'-separated word with its first letter upper-cased."""
     col = F.col(c) if isinstance(c, str) else c
     mapping = F.create_map(*[F.lit(x) for kv in INTENT_DISPLAY_NAMES.items() for x in kv])
-    words = F.transform(F.split(col, "_", -1), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))
+    words = F.transform(F.split(col, "_", -1), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     return F.coalesce(F.element_at(mapping, col), F.array_join(words, " "))
 
 
@@ -54,13 +55,15 @@ def _contains_any(col: Column, words: list[str]) -> Column:
     return out
 
 
-def failure_buckets(df: DataFrame, text: str = "text", truth: str | None = None, pred: str = "predicted_intent",
-                    sim: str = "top_retrieval_similarity", top1_intent: str | None = None, reply: str = "reply",
+def failure_buckets(df: DataFrame, text: str = "text", truth: str = "true_intent", pred: str = "predicted_intent",
+                    sim: str = "top_retrieval_similarity", top1_intent: str = "top1_intent", reply: str = "reply",
                     n_cited: str = "evidence_count", decision: str = "decision", human: str = "human_decision",
                     primary: str = "primary_rule", halluc: str = "hallucination_flag",
                     verdict: str = "pass_fail") -> DataFrame:
-    """one row per (row, bucket) it falls in. Buckets needing a column the
-    input lacks (``truth``, ``top1_intent``) are not evaluated."""
+    """one row per (row, bucket) it falls in; all ten buckets are evaluated, so
+    every named column must be there."""
+    require_columns(df, [text, truth, pred, sim, top1_intent, reply, n_cited, decision, human, primary, halluc, verdict],
+                    "failure buckets")
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     rl = F.lower(F.coalesce(F.col(reply), F.lit("")))
     s = F.col(sim)
@@ -82,12 +85,10 @@ def failure_buckets(df: DataFrame, text: str = "text", truth: str | None = None,
         "low_quality_response": F.col(verdict) == "FAIL",
         "ambiguous_customer_message": F.col(primary) == "E7",
     }
-    if truth:
-        b["wrong_intent"] = F.col(pred) != F.col(truth)
-        if top1_intent:
-            b["irrelevant_retrieved_evidence"] = (s >= LOW_SIM) & (F.col(top1_intent) != F.col(truth))
+    b["wrong_intent"] = F.col(pred) != F.col(truth)
+    b["irrelevant_retrieved_evidence"] = (s >= LOW_SIM) & (F.col(top1_intent) != F.col(truth))
     arr = F.array_compact(F.array(*[F.when(F.coalesce(b[k], F.lit(False)), F.lit(k))
-                                    for k in FAILURE_BUCKETS if k in b]))
+                                    for k in FAILURE_BUCKETS]))
     return df.select("*", F.explode(arr).alias("bucket"))
 
 

@@ -44,24 +44,33 @@ def _jump(ptr: DataFrame) -> DataFrame:
 
 
 def _resolve_acyclic(ptr: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Jump until a round resolves nothing new; returns (id, ptr, open) for all edge ids."""
-    ptr = reliable_checkpoint(_flagged(ptr, edges))
-    prev = ptr.filter("open").count()
+    """Jump until a round resolves nothing new; returns (id, ptr, open) for all edge ids.
+
+    Only open rows jump: a row leaves the join (and later checkpoints) in the round
+    that resolves it, so a root that many rows share is never a hot join key.
+    """
+    first = reliable_checkpoint(_flagged(ptr, edges))
+    done, todo = first.filter(~F.col("open")), first.filter("open")
+    prev = todo.count()
     for _ in range(max_rounds):
         if prev == 0:
-            break
-        ptr = reliable_checkpoint(_jump(ptr))
-        cur = ptr.filter("open").count()
+            return done
+        known = done.unionByName(todo)
+        a, b = todo.alias("a"), known.alias("b")
+        moved = reliable_checkpoint(a.join(b, F.col("a.ptr") == F.col("b.id"))
+                                    .select(F.col("a.id").alias("id"), F.col("b.ptr").alias("ptr"), F.col("b.open").alias("open")))
+        done, todo = done.unionByName(moved.filter(~F.col("open"))), moved.filter("open")
+        cur = todo.count()
         if cur == prev:
-            break
+            return done.unionByName(todo)
         prev = cur
-    return ptr
+    raise RuntimeError(f"reply chains are not resolved after {max_rounds} doubling rounds")
 
 
 def root_pointers(edges: DataFrame) -> DataFrame:
     """``edges(id, parent)`` -> ``(id, root)`` for every id that has a parent."""
     e = (edges.filter(F.col("parent").isNotNull())
-              .groupBy("id").agg(F.max("parent").alias("parent")))   # duplicate ids: one parent
+              .groupBy("id").agg(F.max("parent").alias("parent")))   # duplicate ids: the largest parent
     e = reliable_checkpoint(e)
     ptr = _resolve_acyclic(e.select("id", F.col("parent").alias("ptr")), e)
     stuck = ptr.filter("open")

@@ -8,6 +8,7 @@ from casewright.operators import intent as I
 from casewright.operators import metrics as M
 from casewright.operators import quality as Q
 from casewright.plans.catalog import query
+from casewright.plans.corpus_queries import _clean_sql
 from casewright.plans.oracle_views import with_views
 from casewright.plans.quality_queries import SPLIT_CTES
 from casewright.sources import fixtures as FX
@@ -53,14 +54,28 @@ def q_intent_models(spark, sf_dir):
     return I.predict(models, s.filter(F.col("split") == "test"))
 
 
-@query("tfidf_vectors", "T3")
+@query("intent_model_metrics", "M6 A8")
+def q_intent_model_metrics(spark, sf_dir):
+    """Accuracy, macro and weighted scores of the three models on the test split."""
+    return M.classification_summary(q_intent_models(spark, sf_dir).select("model", "tweet_id", "truth", "pred"))
+
+
+@query("intent_model_confusion", "M6 A10")
+def q_intent_model_confusion(spark, sf_dir):
+    """(model, truth, pred, n) of the three models on the test split."""
+    return (q_intent_models(spark, sf_dir).groupBy("model", "truth", "pred").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("tfidf_vectors", "T3 P6", f"""
+WITH c AS (SELECT doc_id, regexp_extract_all(lower({_clean_sql('text')}), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1) AS w FROM documents),
+t AS (SELECT doc_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM c),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+x AS (SELECT doc_id, tf.term, tf * (ln(((SELECT count(*) FROM documents) + 1) / CAST(df + 1 AS DOUBLE)) + 1) AS x FROM tf JOIN df ON df.term = tf.term)
+SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""")
 def q_tfidf(spark, sf_dir):
-    """Hashed TF-IDF for every document; reports distinct terms per document
-    (the vector column itself stays sparse, never densified)."""
-    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    v = I.hashed_tfidf(d)
-    return v.select("doc_id", F.size(F.array_distinct("_terms")).cast("long").alias("n_terms"),
-                    F.size("_uni").cast("long").alias("n_tokens"))
+    """TF-IDF vector of every cleaned document, as sparse rows."""
+    return I.tfidf_rows(read_table(spark, sf_dir, "documents", "doc_id", "text")).withColumn("weight", F.round("weight", 6))
 
 
 @query("retrieved_intent_metrics", "M5 A11 T1")

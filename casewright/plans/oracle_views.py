@@ -67,10 +67,17 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""),
     "messages": ([], """
   messages AS (
-    SELECT doc_id AS msg_id,
+    SELECT doc_id AS msg_id, text FROM documents
+    UNION ALL
+    SELECT doc_id + 10000000000 AS msg_id,
            CASE doc_id % 12 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN 'Thanks a lot!'
              WHEN 3 THEN 'I was charged twice, want a refund' WHEN 4 THEN 'my account was hacked, reset password'
-             WHEN 5 THEN 'cancel subscription & bank dispute' WHEN 6 THEN 'hello there' ELSE text END AS text
+             WHEN 5 THEN 'cancel subscription & bank dispute' WHEN 6 THEN 'hello there' END AS text
+    FROM documents WHERE doc_id % 12 < 7)"""),
+    "true_intents": ([], """
+  true_intents AS (
+    SELECT doc_id AS msg_id, CASE lang WHEN 'en' THEN 'account_and_login' WHEN 'fr' THEN 'playback_and_app_issues'
+             WHEN 'de' THEN 'billing_and_payment' WHEN 'es' THEN 'feature_requests' END AS true_intent
     FROM documents)"""),
     "signals": (["messages"], """
   signals AS (

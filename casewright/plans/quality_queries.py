@@ -29,7 +29,7 @@ def q_class_distribution(spark, sf_dir):
 
 _DUP_CTES = [
     "dup_ids AS (SELECT tweet_id, count(*) AS group_size FROM labelled_docs GROUP BY 1 HAVING count(*) > 1)",
-    "keyed AS (SELECT tweet_id, " + norm_sql("coalesce(text, 'nan')") + " AS k FROM labelled_docs)",
+    "keyed AS (SELECT tweet_id, " + norm_sql("text") + " AS k FROM labelled_docs WHERE text IS NOT NULL)",
     "dup_txt AS (SELECT k, count(*) AS group_size FROM keyed GROUP BY 1 HAVING count(*) > 1)",
     """dups AS (
     SELECT 'tweet_id' AS dup_kind, l.tweet_id, d.group_size FROM labelled_docs l JOIN dup_ids d ON d.tweet_id = l.tweet_id
@@ -43,25 +43,62 @@ def q_duplicate_rows(spark, sf_dir):
     return Q.duplicate_rows(FX.labelled_docs(spark, sf_dir))
 
 
-@query("golden_report", "A4 A5 A6 A7 S7", with_views(["labelled_docs", "taxonomy"], f"""
-SELECT CASE WHEN issues = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, CAST(issues AS BIGINT) AS total_issues,
-       row_count, empty_text, empty_intent, classes_represented, invalid_classes, duplicate_id_rows, duplicate_text_rows
-FROM (SELECT *, (CASE WHEN empty_text > 0 THEN 1 ELSE 0 END) + (CASE WHEN empty_intent > 0 THEN 1 ELSE 0 END)
-              + (CASE WHEN invalid_classes > 0 THEN 1 ELSE 0 END) + (CASE WHEN duplicate_id_rows > 0 THEN 1 ELSE 0 END)
-              + (CASE WHEN duplicate_text_rows > 0 THEN 1 ELSE 0 END) AS issues
-      FROM agg, dagg) z""", extra=_DUP_CTES + [f"""agg AS (
-    SELECT count(*) AS row_count,
-           count(*) FILTER (WHERE {_blank('text')}) AS empty_text,
-           count(*) FILTER (WHERE {_blank('intent')}) AS empty_intent,
-           count(DISTINCT intent) AS classes_represented,
-           count(DISTINCT intent) FILTER (WHERE intent NOT IN (SELECT intent FROM taxonomy)) AS invalid_classes
-    FROM labelled_docs)""", """dagg AS (
-    SELECT count(*) FILTER (WHERE dup_kind = 'tweet_id') AS duplicate_id_rows,
-           count(*) FILTER (WHERE dup_kind = 'text') AS duplicate_text_rows FROM dups)"""]))
+_OFFENDERS = f"""offenders AS (
+    SELECT 'empty_text' AS "check", tweet_id, NULL AS value FROM labelled_docs WHERE {_blank('text')}
+    UNION ALL SELECT 'empty_intent', tweet_id, NULL FROM labelled_docs WHERE {_blank('intent')}
+    UNION ALL SELECT 'taxonomy_membership', tweet_id, intent FROM labelled_docs WHERE intent NOT IN (SELECT intent FROM taxonomy)
+    UNION ALL SELECT CASE dup_kind WHEN 'text' THEN 'duplicate_texts' ELSE 'duplicate_tweet_ids' END, tweet_id, NULL FROM dups)"""
+
+_REPORT = [_OFFENDERS, f"""agg AS (
+    SELECT count(*) AS row_count, count(*) FILTER (WHERE {_blank('text')}) AS empty_text,
+           count(*) FILTER (WHERE {_blank('intent')}) AS empty_intent, count(DISTINCT intent) AS classes_represented
+    FROM labelled_docs)""", """wrong AS (
+    SELECT count(*) FILTER (WHERE "check" = 'duplicate_tweet_ids') AS duplicate_id_rows,
+           count(*) FILTER (WHERE "check" = 'duplicate_texts') AS duplicate_text_rows,
+           count(DISTINCT value) AS invalid_classes FROM offenders)""", """found AS (
+    SELECT *, list_filter([CASE WHEN row_count <> 200 THEN 'Expected 200 rows, found ' || row_count END,
+        CASE WHEN empty_text > 0 THEN 'Found ' || empty_text || ' empty or null text entries' END,
+        CASE WHEN empty_intent > 0 THEN 'Found ' || empty_intent || ' empty or null intent entries' END,
+        CASE WHEN invalid_classes > 0 THEN 'Found ' || invalid_classes || ' invalid intent labels not in taxonomy' END,
+        CASE WHEN duplicate_id_rows > 0 THEN 'Found ' || duplicate_id_rows || ' duplicate tweet_id rows' END,
+        CASE WHEN duplicate_text_rows > 0 THEN 'Found ' || duplicate_text_rows || ' duplicate or identical text messages' END],
+      lambda x: x IS NOT NULL) AS found FROM agg, wrong)""", """report AS (
+    SELECT CASE WHEN len(found) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, CAST(len(found) AS BIGINT) AS total_issues,
+           array_to_string(found, '; ') AS issues, '' AS missing_columns, row_count, CAST(200 AS BIGINT) AS expected_rows,
+           empty_text, empty_intent, classes_represented, invalid_classes, duplicate_id_rows, duplicate_text_rows,
+           'labelled documents' AS dataset_source, row_count AS total_examples FROM found)"""]
+
+
+@query("golden_report", "A4 A5 A6 A7", with_views(["labelled_docs", "taxonomy"], "SELECT * FROM report", extra=_DUP_CTES + _REPORT))
 def q_golden_report(spark, sf_dir):
     return Q.golden_report(FX.labelled_docs(spark, sf_dir), FX.taxonomy(spark))
 
 
+@query("golden_offenders", "A4 A5 A6", with_views(["labelled_docs", "taxonomy"], "SELECT * FROM offenders", extra=_DUP_CTES + [_OFFENDERS]))
+def q_golden_offenders(spark, sf_dir):
+    return Q.golden_offenders(FX.labelled_docs(spark, sf_dir), FX.taxonomy(spark))
+
+
+@query("golden_report_json", "S7 A7", with_views(["labelled_docs", "taxonomy"], """
+SELECT 'checks' AS section, CAST(to_json(r) AS VARCHAR) AS body FROM report r
+UNION ALL SELECT 'invalid_classes', CAST(to_json(coalesce(list(DISTINCT value ORDER BY value) FILTER (WHERE value IS NOT NULL), [])) AS VARCHAR) FROM offenders
+UNION ALL SELECT 'duplicate_sample_ids', CAST(to_json(coalesce(list(tweet_id ORDER BY tweet_id), [])) AS VARCHAR)
+  FROM (SELECT tweet_id FROM offenders WHERE "check" = 'duplicate_texts' ORDER BY tweet_id LIMIT 5) t
+UNION ALL SELECT 'class_distribution', CAST(to_json(list({'intent': intent, 'count': n, 'percentage': p} ORDER BY ord)) AS VARCHAR)
+  FROM (SELECT t.ord, t.intent, count(l.tweet_id) AS n, round(count(l.tweet_id) * CAST(100 AS DOUBLE) / (SELECT count(*) FROM labelled_docs), 2) AS p
+        FROM taxonomy t LEFT JOIN labelled_docs l ON l.intent = t.intent GROUP BY ALL) d""", extra=_DUP_CTES + _REPORT))
+def q_golden_report_json(spark, sf_dir):
+    d, t = FX.labelled_docs(spark, sf_dir), FX.taxonomy(spark)
+    return Q.report_json(Q.golden_report(d, t), Q.class_distribution(d, t), Q.golden_offenders(d, t))
+
+
+@query("label_disagreements", "A28", with_views(["label_review"], """
+SELECT tweet_id, candidate_intent, human_verified_intent FROM label_review
+WHERE candidate_intent IS DISTINCT FROM human_verified_intent"""))
+def q_label_disagreements(spark, sf_dir):
+    return Q.label_disagreements(FX.label_review(spark, sf_dir))
+
+
 @query("label_review_agreement", "A28", with_views(["label_review"], """
 SELECT coalesce(a.intent, b.intent) AS intent, coalesce(a.candidate_count, 0) AS candidate_count,
        coalesce(b.verified_count, 0) AS verified_count, coalesce(a.changed_from, 0) AS disagreements,

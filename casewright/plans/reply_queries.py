@@ -10,6 +10,7 @@ from casewright.operators import failures as FL
 from casewright.operators import judge as J
 from casewright.operators import policy as P
 from casewright.operators import replies as R
+from casewright.operators.quantiles import exact_quantiles
 from casewright.plans.catalog import query
 from casewright.plans.oracle_views import strip_sql, with_views
 from casewright.plans.policy_queries import decisions_cte, flags_cte, kw_sql
@@ -138,21 +139,53 @@ def q_grounding(spark, sf_dir):
     return R.grounding_breakdown(drafted(spark, sf_dir))
 
 
-@query("reply_parse", "D7")
+RAW_SHAPES = 8
+
+_RAW_CTES = ["""raw AS (SELECT tweet_id, CASE tweet_id % 8
+        WHEN 0 THEN full_ WHEN 1 THEN 'Sure! Here it is: ' || full_ || ' Thanks.'
+        WHEN 2 THEN CAST(json_object('reply', generated_reply, 'grounding_summary', 's', 'grounding_status', 'maybe') AS VARCHAR)
+        WHEN 3 THEN '' WHEN 4 THEN generated_reply
+        WHEN 5 THEN CAST(json_object('reply', generated_reply, 'grounding_summary', 's', 'grounding_status', 'generation_failed') AS VARCHAR)
+        WHEN 6 THEN CAST(json_object('reply', generated_reply, 'grounding_status', 'grounded') AS VARCHAR)
+        ELSE CAST(json_object('reply', generated_reply, 'grounding_summary', 's', 'evidence_case_ids', 'case_1', 'grounding_status', 'grounded') AS VARCHAR)
+      END AS raw
+    FROM (SELECT *, CAST(json_object('reply', generated_reply, 'grounding_summary', 'from turn', 'evidence_case_ids', ['case_00001'],
+            'grounding_status', 'grounded') AS VARCHAR) AS full_ FROM judge_turns) t)""",
+             r"""body AS (SELECT tweet_id, raw, CASE WHEN json_valid(raw) THEN raw
+        WHEN json_valid(nullif(regexp_extract(raw, '(?s)(\{.*\})', 1), '')) THEN regexp_extract(raw, '(?s)(\{.*\})', 1) END AS js FROM raw)""",
+             """parsed AS (SELECT *, json_extract_string(js, '$.reply') AS reply, json_extract_string(js, '$.grounding_summary') AS summary,
+        json_extract_string(js, '$.grounding_status') AS status,
+        coalesce(json_type(js, '$.evidence_case_ids'), 'ARRAY') = 'ARRAY' AS list_ok,
+        coalesce(array_to_string(json_extract_string(js, '$.evidence_case_ids[*]'), ','), '') AS cited FROM body)""",
+             """good AS (SELECT *, coalesce(reply IS NOT NULL AND summary IS NOT NULL AND list_ok
+        AND status IN ('grounded', 'insufficient_evidence', 'generation_failed'), false) AS ok FROM parsed)"""]
+
+
+@query("reply_parse", "D7", with_views(["judge_turns"], f"""
+SELECT tweet_id, CASE WHEN ok THEN reply ELSE '{_q(R.FAILED_REPLY)}' END AS reply,
+       CASE WHEN ok THEN summary WHEN {strip_sql("raw")} = '' THEN '{R.FAILED_SUMMARY + R.FAILED_REASONS["empty"]}'
+            ELSE '{R.FAILED_SUMMARY + R.FAILED_REASONS["invalid"]}' END AS grounding_summary,
+       CASE WHEN ok THEN cited ELSE '' END AS evidence_case_ids, CASE WHEN ok THEN status ELSE 'generation_failed' END AS grounding_status
+FROM good""", extra=_RAW_CTES))
 def q_reply_parse(spark, sf_dir):
-    """Raw drafting outputs derived from every judge turn in five shapes
-    (JSON, JSON inside prose, bad status, empty, not JSON), then parsed."""
+    """Raw drafting outputs derived from every judge turn in eight shapes (JSON, JSON inside prose, bad
+    status, empty, not JSON, failed status, no summary, citations of another type), then parsed."""
     t = FX.judge_turns(spark, sf_dir)
     js = F.to_json(F.struct(F.col("generated_reply").alias("reply"), F.lit("from turn").alias("grounding_summary"),
                             F.array(F.lit("case_00001")).alias("evidence_case_ids"),
                             F.lit("grounded").alias("grounding_status")))
-    bad = F.to_json(F.struct(F.col("generated_reply").alias("reply"), F.lit("maybe").alias("grounding_status")))
-    k = F.col("tweet_id") % 5
+    k = F.col("tweet_id") % RAW_SHAPES
+
+    def shape(status: str, summary: bool = True, cited: bool = False):
+        return F.to_json(F.struct(F.col("generated_reply").alias("reply"), *([F.lit("s").alias("grounding_summary")] if summary else []),
+                                  *([F.lit("case_1").alias("evidence_case_ids")] if cited else []), F.lit(status).alias("grounding_status")))
     raw = (F.when(k == 0, js).when(k == 1, F.concat(F.lit("Sure! Here it is: "), js, F.lit(" Thanks.")))
-            .when(k == 2, bad).when(k == 3, F.lit("")).otherwise(F.col("generated_reply")))
+            .when(k == 2, shape("maybe")).when(k == 3, F.lit("")).when(k == 4, F.col("generated_reply"))
+            .when(k == 5, shape("generation_failed")).when(k == 6, shape("grounded", summary=False))
+            .otherwise(shape("grounded", cited=True)))
     p = t.select("tweet_id", R.parse_reply(raw).alias("r"))
-    return p.select("tweet_id", F.col("r.grounding_status").alias("grounding_status"),
-                    F.length("r.reply").cast("long").alias("reply_chars"))
+    return p.select("tweet_id", F.col("r.reply").alias("reply"), F.col("r.grounding_summary").alias("grounding_summary"),
+                    F.array_join("r.evidence_case_ids", ",").alias("evidence_case_ids"), F.col("r.grounding_status").alias("grounding_status"))
 
 
 # ----------------------------------------------------------- judge
@@ -301,12 +334,20 @@ def q_average_ranks(spark, sf_dir):
 def _policy_judged(spark, sf_dir):
     s = FX.signals(spark, sf_dir)
     d = P.decide(s)
-    return J.judge(d, reply="reply_text", customer="text", intent="predicted_intent",
-                   sim="top_retrieval_similarity", status="grounding_status")
+    j = J.judge(d, reply="reply_text", customer="text", intent="predicted_intent",
+                sim="top_retrieval_similarity", status="grounding_status")
+    truth = FX.true_intents(spark, sf_dir)
+    top1 = (knn_result(spark, sf_dir).filter(F.col("rank") == 1)
+            .join(truth.select(F.col("msg_id").alias("case_id"), F.col("true_intent").alias("top1_intent")), "case_id")
+            .select(F.col("query_id").alias("msg_id"), "top1_intent"))
+    return j.join(truth, "msg_id", "left").join(top1, "msg_id", "left")
 
 
 FAIL_CTES = [flags_cte("signals", P.PolicyConfig())] + decisions_cte() + _judge_cte(
-    "decisions", "reply_text", "text", "predicted_intent", "top_retrieval_similarity", "grounding_status")
+    "decisions", "reply_text", "text", "predicted_intent", "top_retrieval_similarity", "grounding_status") + KNN_CTES + [
+    """failsrc AS (SELECT j.*, t.true_intent, c.true_intent AS top1_intent FROM judged_v j LEFT JOIN true_intents t ON t.msg_id = j.msg_id
+    LEFT JOIN (SELECT query_id, case_id FROM knn WHERE rank = 1) k ON k.query_id = j.msg_id
+    LEFT JOIN true_intents c ON c.msg_id = k.case_id)"""]
 
 
 def _failure_sql() -> str:
@@ -316,6 +357,8 @@ def _failure_sql() -> str:
     cla = " OR ".join(f"contains({rl}, '{t}')" for t in FL.CLARIFY_TOKENS)
     acc, bill = kw_sql("text", P.SENSITIVE_ACCOUNT_KEYWORDS), kw_sql("text", P.BILLING_ACTION_KEYWORDS)
     conds = {
+        "wrong_intent": "predicted_intent <> true_intent",
+        "irrelevant_retrieved_evidence": "top_retrieval_similarity >= 0.45 AND top1_intent <> true_intent",
         "low_retrieval_similarity": "top_retrieval_similarity < 0.45",
         "unsupported_generation": "top_retrieval_similarity < 0.45 AND trim(coalesce(reply_text, '')) <> '' "
                                   "AND coalesce(evidence_count, 0) <= 0",
@@ -326,11 +369,20 @@ def _failure_sql() -> str:
         "low_quality_response": "pass_fail = 'FAIL'",
         "ambiguous_customer_message": "primary_rule = 'E7'",
     }
-    return "\nUNION ALL\n".join(f"SELECT msg_id, '{k}' AS bucket FROM judged_v WHERE coalesce({v}, false)"
+    return "\nUNION ALL\n".join(f"SELECT msg_id, '{k}' AS bucket FROM failsrc WHERE coalesce({v}, false)"
                                 for k, v in conds.items())
 
 
-@query("failure_buckets", "F1", with_views(["signals"], _failure_sql(), extra=FAIL_CTES))
+_FAIL_VIEWS = ["signals", "true_intents", "vec_queries", "vec_corpus"]
+
+
+@query("failure_summary", "F1", with_views(_FAIL_VIEWS, f"""
+SELECT bucket, count(*) AS n, min(msg_id) AS example_id FROM ({_failure_sql()}) b GROUP BY bucket""", extra=FAIL_CTES))
+def q_failure_summary(spark, sf_dir):
+    return FL.failure_summary(FL.failure_buckets(_policy_judged(spark, sf_dir), reply="reply_text"), "msg_id")
+
+
+@query("failure_buckets", "F1", with_views(_FAIL_VIEWS, _failure_sql(), extra=FAIL_CTES))
 def q_failures(spark, sf_dir):
     j = _policy_judged(spark, sf_dir)
     return FL.failure_buckets(j, reply="reply_text").select("msg_id", "bucket")
@@ -361,7 +413,9 @@ SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(quanti
 FROM events GROUP BY event_type""")
 def q_latency(spark, sf_dir):
     e = read_table(spark, sf_dir, "events", "event_type", "value")
-    return e.groupBy("event_type").agg(
-        F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"),
-        F.round(F.percentile("value", 0.5), 4).alias("median"), F.round(F.percentile("value", 0.95), 4).alias("p95"),
-        F.round(F.max("value"), 4).alias("max"))
+    rest = e.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"),
+                                       F.round(F.max("value"), 4).alias("max"))
+    q = exact_quantiles(e, "event_type", "value", {"median": 0.5, "p95": 0.95})
+    same = rest["event_type"].eqNullSafe(q["event_type"])
+    return rest.join(q, same, "left").select(rest["event_type"], "n", "mean", F.round("median", 4).alias("median"),
+                                             F.round("p95", 4).alias("p95"), "max")

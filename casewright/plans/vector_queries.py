@@ -134,17 +134,30 @@ def q_retrieval_metrics(spark, sf_dir):
     return M.retrieval_metrics(FX.vec_queries(spark, sf_dir), knn_result(spark, sf_dir), "query_label")
 
 
-MARGIN_SQL = "list_transform(CAST(embedding[1:10] AS DOUBLE[]), lambda x: x)"
-
-
-@query("retrieval_metrics_pred", "A12 M4", _with_knn(_RM_BODY, [
-    f"""knn_p AS (SELECT k.*, list_position(m.mg, list_max(m.mg)) - 1 AS pred_label FROM knn k
-      JOIN (SELECT vec_id, {MARGIN_SQL} AS mg FROM embeddings) m ON m.vec_id = k.query_id)""",
+MARGIN_CTES = CENTROID_CTES + [
+    f"ue AS (SELECT vec_id, {_unit_sql('CAST(embedding AS DOUBLE[])')} AS v FROM embeddings)",
+    """margins AS (SELECT e.vec_id, list(list_dot_product(e.v, c.v) ORDER BY c.centroid_id) AS mg
+    FROM ue e JOIN centn c ON true GROUP BY e.vec_id)"""]
+
+
+def _margins(spark, sf_dir):
+    """(vec_id, m): the margin of each class is the vector's dot product with the class centroid,
+    over all components. There is one centroid for each label of ``LABELS``, so they are literals."""
+    cents = _centroids(spark, sf_dir).orderBy("centroid_id").limit(len(LABELS) + 1).collect()
+    if len(cents) > len(LABELS):
+        raise ValueError("more labels than LABELS lists")
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", K.l2_normalize("embedding").alias("u"))
+    dot = lambda v: F.aggregate(F.zip_with("u", F.array(*[F.lit(float(x)) for x in v]), lambda x, y: x * y),
+                                F.lit(0.0), lambda acc, x: acc + x)
+    return e.select("vec_id", F.array(*[dot(r["embedding"]) for r in cents]).alias("m"))
+
+
+@query("retrieval_metrics_pred", "A12 M4", _with_knn(_RM_BODY, MARGIN_CTES + [
+    """knn_p AS (SELECT k.*, list_position(m.mg, list_max(m.mg)) - 1 AS pred_label FROM knn k
+      JOIN margins m ON m.vec_id = k.query_id)""",
     _pq_cte("k.pred_label")]))
 def q_retrieval_metrics_pred(spark, sf_dir):
-    emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    pred = emb.select(F.col("vec_id").alias("query_id"),
-                      M.margin_argmax(F.slice(F.col("embedding").cast("array<double>"), 1, 10)).alias("pred_label"))
+    pred = _margins(spark, sf_dir).select(F.col("vec_id").alias("query_id"), M.margin_argmax(F.col("m")).alias("pred_label"))
     hits = knn_result(spark, sf_dir).join(pred, "query_id")
     return M.retrieval_metrics(FX.vec_queries(spark, sf_dir), hits, "pred_label")
 
@@ -284,31 +297,28 @@ def q_misclassified(spark, sf_dir):
 
 # ----------------------------------------------------------- margins
 
-@query("margin_confidence", "M4", f"""
+@query("margin_confidence", "M4", with_views([], """
 SELECT vec_id, CAST(list_position(mg, list_max(mg)) - 1 AS BIGINT) AS pred_class,
        round(1.0 / list_sum(list_transform(mg, lambda x: exp(x - list_max(mg)))), 4) AS confidence
-FROM (SELECT vec_id, {MARGIN_SQL} AS mg FROM embeddings) t""")
+FROM margins t""", extra=MARGIN_CTES))
 def q_margin_confidence(spark, sf_dir):
-    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    m = F.slice(F.col("embedding").cast("array<double>"), 1, 10)
+    e, m = _margins(spark, sf_dir), F.col("m")
     return e.select("vec_id", M.margin_argmax(m).alias("pred_class"),
                     F.round(M.softmax_confidence(m), 4).alias("confidence"))
 
 
-@query("runner_up_classes", "W3", f"""
+@query("runner_up_classes", "W3", with_views([], """
 SELECT vec_id, """ + ", ".join(
     f"max(CASE WHEN rn = {j} THEN cls END) AS top{j}_class, max(CASE WHEN rn = {j} THEN round(p, 4) END) AS top{j}_score"
-    for j in (1, 2, 3)) + f"""
+    for j in (1, 2, 3)) + """
 FROM (SELECT vec_id, cls, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, cls) AS rn FROM (
         SELECT vec_id, CAST(i - 1 AS BIGINT) AS cls, exp(x - mx) / z AS p FROM (
           SELECT vec_id, unnest(mg) AS x, generate_subscripts(mg, 1) AS i, list_max(mg) AS mx,
                  list_sum(list_transform(mg, lambda y: exp(y - list_max(mg)))) AS z
-          FROM (SELECT vec_id, {MARGIN_SQL} AS mg FROM embeddings) a) b) c) d
-GROUP BY vec_id""")
+          FROM margins a) b) c) d
+GROUP BY vec_id""", extra=MARGIN_CTES))
 def q_runner_up(spark, sf_dir):
-    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    e = e.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("m"))
-    return M.runner_up_classes(e, "vec_id", "m")
+    return M.runner_up_classes(_margins(spark, sf_dir), "vec_id", "m")
 
 
 @query("vector_store_roundtrip", "S8 T2", """

@@ -105,16 +105,22 @@ def label_review(spark: SparkSession, sf_dir: str) -> DataFrame:
                       .alias("human_verified_intent")))
 
 
+# Message ids of the literal messages start here (document ids are far below).
+LITERAL_BASE = 10_000_000_000
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming messages: whole document texts plus literal support phrases."""
+    """Incoming messages: every document's whole text, and as further rows seven of every
+    twelve document ids with a literal support phrase, a blank or nothing."""
     d = read_table(spark, sf_dir, "documents", "doc_id", "text")
     k = F.col("doc_id") % 12
     text = (F.when(k == 0, F.lit("")).when(k == 1, F.lit(" ")).when(k == 2, F.lit("Thanks a lot!"))
              .when(k == 3, F.lit("I was charged twice, want a refund"))
              .when(k == 4, F.lit("my account was hacked, reset password"))
              .when(k == 5, F.lit("cancel subscription & bank dispute"))
-             .when(k == 6, F.lit("hello there")).otherwise(F.col("text")))
-    return d.select(F.col("doc_id").alias("msg_id"), text.alias("text"))
+             .when(k == 6, F.lit("hello there")))
+    literal = d.filter(k < 7).select((F.col("doc_id") + LITERAL_BASE).alias("msg_id"), text.alias("text"))
+    return d.select(F.col("doc_id").alias("msg_id"), "text").unionByName(literal)
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +142,17 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The true intent of a message, by the language of its document.
+TRUE_INTENT = {"en": "account_and_login", "fr": "playback_and_app_issues", "de": "billing_and_payment", "es": "feature_requests"}
+
+
+def true_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(msg_id, true_intent) of the messages that are documents."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "lang")
+    mapping = F.create_map(*[F.lit(x) for kv in TRUE_INTENT.items() for x in kv])
+    return d.select(F.col("doc_id").alias("msg_id"), F.element_at(mapping, F.col("lang")).alias("true_intent"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole embeddings table as (id, embedding, label)."""
     return read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
