@@ -287,7 +287,7 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # Equal sets: one representative for each.
     classes = (linkable.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("cls", "rep"))
     rows = reliable_checkpoint(sketches.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
-                               .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("node")))
+                               .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("node")))
     copies = rows.where(F.col("doc_id") != F.col("node")).select("doc_id")
     reps = linkable.join(bounded_broadcast(copies), "doc_id", "left_anti")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
