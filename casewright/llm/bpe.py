@@ -58,7 +58,7 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        table = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        table = np.array([*pairs, (np.iinfo(np.int64).max, NONE)], dtype=np.int64)  # the last is no pair
         table = table[np.argsort(table[:, 0])]
         self.pair_codes, self.pair_ranks = np.ascontiguousarray(table[:, 0]), table[:, 1].astype(np.int32)
 
