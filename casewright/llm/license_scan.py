@@ -2,8 +2,8 @@
 
 Words are runs of letters and digits, A-Z lower-cased. Templates are cut into
 ``Settings.gram`` consecutive words; of every ``Settings.window`` neighbouring
-grams the one with the smallest hash is kept (winnowing) and goes into an
-inverted index from hash to (template, position). Every gram of every whole
+grams the one with the smallest hash is kept (winnowing; statements of a few words
+have shorter windows) and goes into an inverted index from hash to (template, position). Every gram of every whole
 text is looked up, so a text that shares ``window + gram - 1`` words in a row with
 a template always becomes a candidate. Hits of a template on nearby diagonals
 (text position minus template position) are one candidate region. There the template is
@@ -85,7 +85,7 @@ class Index:
             if len(w):
                 n = min(s.gram, len(w))
                 h, _ = grams(w, np.zeros(len(w), np.int64), n)
-                rows[n] += [(h[p], i, p) for p in winnow(h, s.window)]
+                rows[n] += [(h[p], i, p) for p in winnow(h, min(s.window, max(1, len(h) // 4)))]
         self.prints = {}
         for n, found in rows.items():
             found.sort()
