@@ -146,8 +146,13 @@ def fit(train: DataFrame, s: Settings = Settings()) -> Model | None:
     if not n.get(None):
         return None
     idf = np.log((1 + n[None]) / (1 + np.array([n[b] for b in range(s.buckets)]))) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    sample = (train.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.sample_rows))
+    # A share of each language by the hash of the id leaves little more than the bound to be ranked.
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.xxhash64(F.col("doc_id"), F.lit(7)) / 2.0 ** 64 + 0.5
+    sample = (train.select("doc_id", "lang").join(sizes, "lang").withColumn("place", place)
+              .where(F.col("place") <= (1.2 * s.sample_rows + 100) / F.col("n"))
+              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.sample_rows).select("doc_id", "lang", "rank"))
     # Bounded: sample_rows ids for each language.
     texts = train.join(F.broadcast(sample), ["doc_id", "lang"])
     rows = texts.groupBy("lang").applyInPandas(lambda x: _cluster(x, idf, s), "lang string, vector array<float>, floor double").collect()
