@@ -89,6 +89,25 @@ def agreement_table(pairs: DataFrame, dim: str = "dimension") -> DataFrame:
         F.when(ok, "COMPUTED").otherwise("INSUFFICIENT_SAMPLES").alias("status"))
 
 
+# Completed human ratings below which no agreement is computed.
+MIN_HUMAN_REVIEWS = 5
+REVIEW_REQUIRED = "HUMAN_REVIEW_REQUIRED"
+
+
+def gated_agreement(human: DataFrame, judge: DataFrame, keys: list[str], dim: str = "dimension") -> DataFrame:
+    """A26 with its gate: with fewer than ``MIN_HUMAN_REVIEWS`` rated items the table has the judge's
+    means only and says that human review is required; else it is ``agreement_table``."""
+    items = [k for k in keys if k != dim]
+    rated = human.filter(F.col("human").isNotNull()).select(*items).distinct().limit(MIN_HUMAN_REVIEWS).count()
+    if rated >= MIN_HUMAN_REVIEWS:
+        return agreement_table(pair_ratings(human, judge, keys), dim)
+    none = F.lit(None).cast("double")
+    return judge.groupBy(dim).agg(F.round(F.avg("llm"), 2).alias("llm_mean")).select(
+        dim, F.lit(0).cast("long").alias("sample_count"), none.alias("human_mean"), "llm_mean",
+        *[none.alias(c) for c in ("pearson_correlation", "spearman_correlation", "agreement_rate", "weighted_kappa")],
+        F.lit(REVIEW_REQUIRED).alias("status"))
+
+
 def weighted_kappa(pairs: DataFrame, dim: str = "dimension") -> DataFrame:
     """Quadratic (closed form) and linear (25-cell table) kappa per dimension."""
     hr, lr = clip_round("human"), clip_round("llm")

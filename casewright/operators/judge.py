@@ -92,8 +92,9 @@ def judge_summary(judged: DataFrame) -> DataFrame:
 
 
 def review_template(judged: DataFrame, id_col: str = "tweet_id", seed: int = 2026) -> DataFrame:
-    """W10 + P9: blinded review rows — decision re-scored (confidence fixed at
-    0.5, grounded iff similarity >= 0.45), blank rating columns, seeded order."""
+    """W10 + P9: blinded review rows — what the reviewer reads (message, intent, reply, evidence
+    similarity), the decision re-scored (confidence fixed at 0.5, grounded iff similarity >= 0.45),
+    blank rating, flag and note columns, seeded order."""
     from casewright.operators.policy import decide
     src = judged.select(
         F.col(id_col), F.col("customer_text").alias("text"), "predicted_intent",
@@ -106,6 +107,7 @@ def review_template(judged: DataFrame, id_col: str = "tweet_id", seed: int = 202
     blank = F.lit(None).cast("double")
     return d.select(
         id_col, F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))).alias("review_order"),
-        "decision", "risk_level", "primary_rule",
+        F.col("text").alias("customer_text"), "predicted_intent", F.col("reply_text").alias("generated_reply"),
+        F.round("top_retrieval_similarity", 4).alias("evidence_similarity"), "decision", "risk_level", "primary_rule",
         *[blank.alias(c) for c in ("relevance", "groundedness", "helpfulness", "completeness", "safety", "overall")],
-        F.lit(None).cast("string").alias("human_decision"))
+        *[F.lit(None).cast("string").alias(c) for c in ("hallucination_flag", "human_decision", "notes")])

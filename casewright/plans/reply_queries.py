@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.functions.text import WORD
+from casewright.functions.text import WORD, py_strip, truncate
 from casewright.operators import agreement as AG
 from casewright.operators import failures as FL
 from casewright.operators import judge as J
@@ -31,14 +31,14 @@ def _nl(s: str) -> str:
 # ----------------------------------------------------------- evidence fixture
 
 def message_evidence(spark, sf_dir):
-    """Retrieved cases per message: the message's own vector's top-5 neighbours,
-    with case texts from the documents table (ordered array, <= 5 per row)."""
+    """Retrieved cases per message: the message's own vector's top-5 neighbours, with the part
+    of the case texts that an evidence block shows (ordered array, <= 5 per row)."""
     hits = knn_result(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    h = hits.join(docs.select(F.col("doc_id").alias("case_id"), F.col("text").alias("case_text")), "case_id", "left")
+    shown = lambda n: truncate(py_strip(F.coalesce(F.col("text"), F.lit(""))), n)
+    h = hits.join(docs.select(F.col("doc_id").alias("case_id"), shown(350).alias("customer"), shown(500).alias("support")), "case_id", "left")
     case = F.struct(F.col("rank"), F.format_string("case_%05d", F.col("case_id")).alias("case_id"),
-                    F.col("similarity"), F.col("case_text").alias("customer_text"),
-                    F.col("case_text").alias("support_text"))
+                    F.col("similarity"), F.col("customer").alias("customer_text"), F.col("support").alias("support_text"))
     g = h.groupBy(F.col("query_id").alias("msg_id")).agg(F.array_sort(F.collect_list(case)).alias("_c"))
     return g.select("msg_id", F.transform("_c", lambda c: c.dropFields("rank")).alias("cases"))
 
@@ -77,6 +77,20 @@ def q_evidence_block(spark, sf_dir):
     return e.select("msg_id", R.evidence_block(F.col("cases")).alias("evidence_block"))
 
 
+@query("prompt_block", "D2", with_views(["vec_queries", "vec_corpus", "signals"], f"""
+SELECT s.msg_id, {_nl('CUSTOMER MESSAGE:' + chr(10) + '"')} || {strip_sql("s.text")} || {_nl('"' + chr(10) + chr(10) + 'PREDICTED INTENT CONTEXT:' + chr(10))}
+         || s.predicted_intent || {_nl(chr(10) * 2)} || CASE WHEN b.body IS NULL THEN {_nl(R.EVIDENCE_EMPTY)}
+         ELSE {_nl(R.EVIDENCE_HEADER + chr(10))} || b.body || {_nl(chr(10) + R.EVIDENCE_FOOTER)} END || chr(10) AS prompt
+FROM signals s LEFT JOIN (
+  SELECT msg_id, string_agg(printf({_nl(_CASE_FMT)}, CAST(rank AS INTEGER), case_id, CAST(similarity AS DOUBLE),
+           {_trunc(strip_sql("coalesce(customer_text, '')"), 350)}, {_trunc(strip_sql("coalesce(support_text, '')"), 500)}),
+           chr(10) ORDER BY rank) AS body
+  FROM ev GROUP BY msg_id) b ON b.msg_id = s.msg_id""", extra=EV_CTES))
+def q_prompt_block(spark, sf_dir):
+    s = FX.signals(spark, sf_dir).select("msg_id", "text", "predicted_intent").join(message_evidence(spark, sf_dir), "msg_id", "left")
+    return s.select("msg_id", R.prompt(F.col("text"), F.col("predicted_intent"), R.evidence_block(F.col("cases"))).alias("prompt"))
+
+
 def _draft_sql_cte() -> str:
     msg = strip_sql("coalesce(s.text, '')")
     m = f"(CASE WHEN starts_with({msg}, '\"') OR {msg} = '' THEN '' ELSE lower(split_part({msg}, '\"', 1)) END)"
@@ -253,15 +267,32 @@ REVIEW_SRC = f"""rsrc AS (SELECT tweet_id, customer_text AS text, predicted_inte
 
 
 @query("review_template", "W10 P9", with_views(["judge_turns"], """
-SELECT tweet_id, md5(CAST(tweet_id AS VARCHAR) || ':2026') AS review_order, decision, risk_level, primary_rule,
+SELECT tweet_id, md5(CAST(tweet_id AS VARCHAR) || ':2026') AS review_order, text AS customer_text, predicted_intent,
+       reply_text AS generated_reply, round(top_retrieval_similarity, 4) AS evidence_similarity, decision, risk_level, primary_rule,
        CAST(NULL AS DOUBLE) AS relevance, CAST(NULL AS DOUBLE) AS groundedness, CAST(NULL AS DOUBLE) AS helpfulness,
        CAST(NULL AS DOUBLE) AS completeness, CAST(NULL AS DOUBLE) AS safety, CAST(NULL AS DOUBLE) AS overall,
-       CAST(NULL AS VARCHAR) AS human_decision FROM decisions""",
+       CAST(NULL AS VARCHAR) AS hallucination_flag, CAST(NULL AS VARCHAR) AS human_decision, CAST(NULL AS VARCHAR) AS notes FROM decisions""",
     extra=[REVIEW_SRC, flags_cte("rsrc", P.PolicyConfig())] + decisions_cte()))
 def q_review_template(spark, sf_dir):
     return J.review_template(FX.judge_turns(spark, sf_dir))
 
 
+RATED = ["relevance", "groundedness", "helpfulness", "completeness", "safety", "overall"]
+
+
+@query("review_gate", "A26 W10", with_views(["judge_turns"], "\nUNION ALL\n".join(f"""
+SELECT '{d}' AS dimension, CAST(0 AS BIGINT) AS sample_count, CAST(NULL AS DOUBLE) AS human_mean, round(avg({d}_score), 2) AS llm_mean,
+       CAST(NULL AS DOUBLE) AS pearson_correlation, CAST(NULL AS DOUBLE) AS spearman_correlation, CAST(NULL AS DOUBLE) AS agreement_rate,
+       CAST(NULL AS DOUBLE) AS weighted_kappa, 'HUMAN_REVIEW_REQUIRED' AS status FROM judged_v""" for d in RATED), extra=JUDGE_CTES))
+def q_review_gate(spark, sf_dir):
+    """The freshly written review template has no human rating yet: judge means only."""
+    turns = FX.judge_turns(spark, sf_dir)
+    long = lambda df, cols, name: df.select("tweet_id", F.explode(F.map_from_arrays(
+        F.array(*[F.lit(d) for d in RATED]), F.array(*[F.col(c).cast("double") for c in cols]))).alias("dimension", name))
+    return AG.gated_agreement(long(J.review_template(turns), RATED, "human"), long(J.judge(turns), [f"{d}_score" for d in RATED], "llm"),
+                              ["tweet_id", "dimension"])
+
+
 # ----------------------------------------------------------- agreement
 
 def _pairs(spark, sf_dir):

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from casewright.operators import knn as K
+from casewright.operators import quality as Q
 from casewright.plans.catalog import query
 from casewright.plans.corpus_queries import q_dedup
-from casewright.plans.oracle_views import norm_sql, with_views
+from casewright.plans.oracle_views import norm_sql, strip_sql, with_views
 from casewright.plans.policy_queries import decisions_cte, flags_cte
 from casewright.plans.reply_queries import DRAFT_CTES, message_evidence
 from casewright.plans.policy_queries import POLICY_CTES
@@ -61,7 +62,11 @@ SIGNAL_SCHEMA = ("msg_id long, text string, predicted_intent string, intent_conf
                  "human_decision string")
 
 
-@query("stream_assist", "X1 P7")
+@query("stream_assist", "X1 P7", with_views(["vec_queries", "vec_corpus", "signals"], f"""
+SELECT msg_id, predicted_intent, round(intent_confidence, 4) AS intent_confidence,
+       round(top_retrieval_similarity, 4) AS top_similarity, CAST(evidence_count AS BIGINT) AS evidence_count,
+       evidence_case_ids, grounding_status, decision, risk_level, primary_rule FROM decisions
+WHERE msg_id IN (SELECT msg_id FROM messages WHERE {strip_sql('text')} <> '' AND length({strip_sql('text')}) <= 2000)""", extra=ASSIST_CTES))
 def q_stream_assist(spark, sf_dir):
     base = scratch_dir(spark, f"stream-assist-{uuid.uuid4().hex}")
     src = FX.signals(spark, sf_dir).select(*[c.split()[0] for c in SIGNAL_SCHEMA.split(", ")])
@@ -83,7 +88,33 @@ def q_stream_stats(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("analysed", "auto_handled", "escalated", "mean_confidence")
 
 
-@query("sink_roundtrip", "S5 S6 S2 S4", with_views(["docs_cases"], f"""
+@query("csv_roundtrip", "S1 S2 S6 S7", with_views(["tweets", "labelled_docs"], """
+SELECT 'tweets' AS source, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(DISTINCT text) AS n_texts FROM tweets
+UNION ALL SELECT 'golden', count(*), CAST(sum(length(text)) AS BIGINT), count(DISTINCT text) FROM labelled_docs
+UNION ALL SELECT 'metrics', 5, NULL, 5
+UNION ALL SELECT 'report', 4, NULL, 4"""))
+def q_csv_roundtrip(spark, sf_dir):
+    """Raw tweets, golden set, a metric table and the JSON report written and read back; the counts
+    are of what was read."""
+    base = scratch_dir(spark, f"csv-{uuid.uuid4().hex}")
+    tweets = FX.tweets(spark, sf_dir).withColumn("response_tweet_id", F.lit(None).cast("string"))
+    S.write_csv(tweets.select(*[c.split()[0] for c in S.TWEET_SCHEMA.split(", ")]), f"{base}/tweets")
+    golden = FX.labelled_docs(spark, sf_dir)
+    S.write_csv(golden.select("tweet_id", "text", "intent", F.lit(None).cast("string").alias("notes")), f"{base}/golden")
+    dist = Q.class_distribution(golden, FX.taxonomy(spark))
+    S.write_metrics_csv(dist, f"{base}/metrics")
+    S.write_json_report(Q.report_json(Q.golden_report(golden, FX.taxonomy(spark)), dist, Q.golden_offenders(golden, FX.taxonomy(spark))), f"{base}/report")
+
+    def counted(df, name, text, chars=True):
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), (F.sum(F.length(text)) if chars else F.max(F.lit(None).cast("long"))).cast("long").alias("n_chars"),
+                      F.countDistinct(text).alias("n_texts")).select(F.lit(name).alias("source"), "n_rows", "n_chars", "n_texts")
+    return (counted(S.read_tweets_csv(spark, f"{base}/tweets"), "tweets", "text")
+            .unionByName(counted(S.read_golden_csv(spark, f"{base}/golden"), "golden", "text"))
+            .unionByName(counted(spark.read.options(**S.CSV_OPTIONS).csv(f"{base}/metrics"), "metrics", "intent", chars=False))
+            .unionByName(counted(spark.read.json(f"{base}/report"), "report", "section", chars=False)))
+
+
+@query("sink_roundtrip", "S5 S4", with_views(["docs_cases"], f"""
 SELECT customer_tweet_id, customer_text, support_text FROM (
   SELECT *, row_number() OVER (PARTITION BY {norm_sql('customer_text')}
                                ORDER BY length(support_text) DESC, customer_tweet_id) AS rn

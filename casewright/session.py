@@ -25,6 +25,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
           .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g")))

@@ -12,7 +12,9 @@ CASE_SCHEMA = ("case_id string, customer_tweet_id long, support_tweet_id string,
                "customer_author_id string")
 DOC_CASE_SCHEMA = "customer_tweet_id long, customer_text string, support_text string"
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+# Quoted texts may hold line ends, so a CSV file is read by one task: write many files, and turn
+# raw CSV into Parquet as the first step of a large job.
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
 
 
 def read_tweets_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -37,6 +39,11 @@ def write_cases(df: DataFrame, parquet_path: str, csv_path: str | None = None) -
         df.write.mode("overwrite").options(**CSV_OPTIONS).csv(csv_path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table as quoted multi-line CSV, one file per partition."""
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+
+
 def write_metrics_csv(df: DataFrame, path: str) -> None:
     """Small metric tables as one CSV file (they are one row per metric/class)."""
     df.coalesce(1).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
@@ -51,8 +58,3 @@ def assert_same_count(a: DataFrame, b: DataFrame) -> None:
     na, nb = a.count(), b.count()
     if na != nb:
         raise ValueError(f"round trip changed the row count: {na} != {nb}")
-
-
-def head_rows(df: DataFrame, order_col: str, n: int) -> DataFrame:
-    """Deterministic head(n) (a distributed top-n)."""
-    return df.orderBy(order_col).limit(n)
