@@ -6,10 +6,12 @@ punctuation at its ends. Canonicalisation puts typed placeholders for numbers
 sentence), so that a question with other numbers or names has the same template.
 
 Every window of ``Settings.window`` template tokens of a benchmark item (an item
-with fewer is one window) is indexed under its longest literal token, the anchor.
+with fewer is one window) is indexed under its anchor, the literal token that is
+rarest in the documents (counted over all of them), with the second rarest beside it.
 Documents are exploded to tokens and hash-joined with the index on the anchor;
-at a hit the document's window around the token is canonicalised and must have
-the template of the indexed window (or, for texts in other case, its literal cores).
+where the second token is at its place too, the document's window is canonicalised
+and must have the template of the indexed window (or, for texts in other case, its
+literal cores).
 The windows of one alignment of document and item then vote on the slots: each
 slot value of the item must stand for one value of the document and the other
 way round, else the alignment does not count. A document is contaminated by an item
@@ -58,7 +60,7 @@ class Settings:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE), "")
 
 
 def core(token: Column) -> Column:
@@ -82,30 +84,46 @@ def window(toks: Column, at: Column, n: Column) -> Column:
     return F.concat(F.array(before), F.slice(toks, at + 1, n))
 
 
-def index(benchmark: DataFrame, s: Settings) -> DataFrame:
-    """One row for each indexed window of each item."""
+def _windows(benchmark: DataFrame, s: Settings) -> DataFrame:
+    """(item_id, item_at, n, item_template, item_cores) of every window of every item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("toks"))
     items = items.where(F.size("toks") > 0).withColumn("n", F.least(F.size("toks"), F.lit(s.window)))
     rows = (items.select("item_id", "toks", "n", F.explode(F.sequence(F.lit(0), F.size("toks") - F.col("n"))).alias("item_at"))
-            .withColumn("part", window(F.col("toks"), F.col("item_at"), F.col("n")))
-            .select("item_id", "item_at", "n", template(F.col("part")).alias("item_template"),
-                    F.transform(F.slice("part", 2, F.col("n")), core).alias("item_cores")))
-    literal = F.filter("item_template", lambda x: ~x.isin(SLOTS) & (x != ""))
-    longest = F.array_max(F.transform(literal, lambda x: F.struct(F.length(x).alias("length"), x.alias("token"))))["token"]
-    rows = rows.withColumn("anchor", longest).where(F.col("anchor").isNotNull())
-    rows = rows.withColumn("anchor_at", F.array_position("item_template", F.col("anchor")).cast("int") - 1)
+            .withColumn("part", window(F.col("toks"), F.col("item_at"), F.col("n"))))
+    return rows.select("item_id", "item_at", "n", template(F.col("part")).alias("item_template"),
+                       F.transform(F.slice("part", 2, F.col("n")), core).alias("item_cores"))
+
+
+def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row for each token of each document that has an id."""
+    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"))
+    return own.select(*keep, F.posexplode("toks").alias("at", "token")).withColumn("anchor", core(F.col("token")))
+
+
+def index(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
+    """One row for each indexed window of each item, with its two rarest literal tokens."""
+    rows = reliable_checkpoint(_windows(benchmark, s))
+    literal = rows.select("item_id", "item_at", F.posexplode("item_template").alias("place", "anchor")).where(~F.col("anchor").isin([*SLOTS, ""]))
+    words = reliable_checkpoint(literal.select("anchor").distinct())
+    seen = _tokens(docs).join(bounded_broadcast(words, INDEX_ROWS), "anchor").groupBy("anchor").agg(F.count("*").alias("seen"))
+    rarest = (literal.join(seen, "anchor", "left").groupBy("item_id", "item_at")
+              .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "anchor", "place"))).alias("r")))
+    rows = rows.join(rarest, ["item_id", "item_at"]).select(
+        "item_id", "item_at", "n", "item_template", "item_cores", F.get("r", F.lit(0))["anchor"].alias("anchor"),
+        F.get("r", F.lit(0))["place"].alias("anchor_at"), F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0))).alias("second"))
     windows = rows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return reliable_checkpoint(rows.join(windows, "item_id"))
+    return reliable_checkpoint(rows.join(windows, "item_id").withColumns({"second_at": F.col("second.place"), "second": F.col("second.anchor")}))
 
 
 def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row for each document window with the template or the cores of an indexed window."""
-    exploded = (docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"))
-                .select("doc_id", "toks", F.posexplode("toks").alias("at", "token")).withColumn("anchor", core(F.col("token"))))
     start = F.col("at") - F.col("anchor_at")
-    near = (exploded.join(bounded_broadcast(found, INDEX_ROWS), "anchor").where((start >= 0) & (start + F.col("n") <= F.size("toks")))
+    inside = (start >= 0) & (start + F.col("n") <= F.size("toks"))
+    near = (_tokens(docs, "doc_id", "toks").join(bounded_broadcast(found, INDEX_ROWS), "anchor")
+            .where(inside & (core(F.get("toks", start + F.col("second_at"))) == F.col("second")))
+            # The window leaves its document here; the generator keeps later filters above it.
             .select("doc_id", "item_id", "item_at", "n", "n_windows", "item_template", "item_cores", start.alias("doc_at"),
-                    window(F.col("toks"), start, F.col("n")).alias("part"))
+                    F.explode(F.array(window(F.col("toks"), start, F.col("n")))).alias("part"))
             .withColumn("doc_cores", F.transform(F.slice("part", 2, F.col("n")), core)))
     same = near.where((F.col("doc_cores") == F.col("item_cores")) | (template(F.col("part")) == F.col("item_template")))
     slots = F.filter(F.arrays_zip("item_template", "item_cores", "doc_cores"), lambda z: z["item_template"].isin(SLOTS))
@@ -115,7 +133,7 @@ def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, n_windows, matched, coverage, first_token, last_token, n_slots, reparameterised)."""
     prepare(docs.sparkSession)
-    alignment = (hits(docs, index(benchmark, s)).groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+    alignment = (hits(docs, index(docs, benchmark, s)).groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
                  .agg(F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
                       F.max("n_windows").alias("n_windows"), F.min("doc_at").alias("first"), F.max(F.col("doc_at") + F.col("n") - 1).alias("last")))
     side = lambda c: F.size(F.array_distinct(F.transform("slots", lambda z: F.struct(z["item_template"], z[c]))))
