@@ -20,11 +20,11 @@ def exact_quantiles(df: DataFrame, group: str, value: str, quantiles: dict[str,
     ranged = reliable_checkpoint(counts.repartitionByRange(group, value).withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy(group, "part").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(group)
-    offsets = sums.select(F.col(group).alias("g"), F.col("part").alias("p"),
+    offsets = sums.select(F.col(group).alias("_group"), F.col("part").alias("_part"),
                           (F.sum("n").over(w.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("total"))
     within = F.sum("n").over(Window.partitionBy(group, "part").orderBy(value))
     placed = (ranged.withColumn("upto", within)
-              .join(offsets, F.col(group).eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")))
+              .join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("part") == F.col("_part")))
               .select(group, value, (F.col("before") + F.col("upto") - F.col("n")).alias("first"),
                       (F.col("before") + F.col("upto") - 1).alias("last"), "total"))
     aggs = []

@@ -45,6 +45,21 @@ def test_random_forests_with_cycles(spark):
         assert run(spark, edges, ids) == brute_roots(edges, ids)
 
 
+def test_many_replies_to_one_deep_thread(spark):
+    """A star of replies on the end of a chain: resolved rows leave the rounds."""
+    edges = [(i, i + 1) for i in range(20)] + [(i, 0) for i in range(100, 400)]
+    ids = [*range(21), *range(100, 400)]
+    assert run(spark, edges, ids) == dict.fromkeys(ids, 20)
+
+
+def test_rounds_that_run_out_raise(spark):
+    import pytest
+    from casewright.operators.graph import _resolve_acyclic
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "id long, parent long")
+    with pytest.raises(RuntimeError):
+        _resolve_acyclic(edges.selectExpr("id", "parent AS ptr"), edges, max_rounds=1)
+
+
 def test_roots_match_spark_recursive_cte(spark):
     """Cross-check on the tweets view (acyclic): pointer jumping == a recursive CTE walk."""
     from casewright.sources import fixtures as FX
