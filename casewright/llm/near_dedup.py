@@ -20,7 +20,8 @@ representatives, links are found in two steps that never list all pairs of a gro
 2. A bucket whose members now have one component needs no more. In the others, the
    members outside the bucket's largest component are compared with all members
    of other components: small buckets by a join on the bucket key, large ones in tiles
-   of at most ``TILE`` x ``TILE`` sketches. Pairs that pass the estimate are verified.
+   of about ``TILE`` x ``TILE`` documents, which return at most one verified link from a
+   document to a component. Pairs are verified if their estimate passes.
 
 So every pair that shares a band is either in one component or was compared, and no
 candidate is dropped. Confirmed links are merged by distributed connected
@@ -55,8 +56,8 @@ from casewright.operators.common import bounded_broadcast, reliable_checkpoint
 REGISTERS = 256
 BANDS, ROWS = 40, 5
 MANTISSA = 10
-#: Members of a bucket that are compared by a plain join; larger ones go through tiles of TILE sketches.
-SMALL, TILE = 32, 512
+#: Members of a bucket that are compared by a plain join; larger ones go through tiles of TILE documents.
+SMALL, TILE = 32, 256
 #: Partners of a pivot that one task verifies.
 PARTNERS = 256
 _SKETCH = "doc_id long, n_shingles long, cls binary, bands array<long>, registers binary"
@@ -210,13 +211,8 @@ def _verified(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
                 if not partner[i]:
                     sets.append(own.copy())
                     continue
-                for other in sets:
-                    x, y = (own, other) if len(own) <= len(other) else (other, own)
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = int((y[at] == x).sum())
-                    if 100 * both >= s.percent * (len(x) + len(y) - both):
-                        out.append(i)
-                        break
+                if any(_linked(own, other, s) for other in sets):
+                    out.append(i)
         yield pa.RecordBatch.from_arrays([pa.array(a[out]), pa.array(b[out])], names=["a", "b"])
 
 
@@ -233,49 +229,71 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
             .mapInArrow(lambda x: _verified(x, s), "a long, b long").distinct())
 
 
+def _linked(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
+    """Whether two sorted shingle sets are similar enough."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= s.percent * (len(x) + len(y) - both)
+
+
 def _tile(rows: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """Pairs of one tile that pass the estimate: its minor members against all others of other components."""
-    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    x, y = (np.frombuffer(b"".join(t["registers"]), np.uint16).reshape(-1, REGISTERS) for t in (left, right))
-    ids, labels, minor, n = (right[c].to_numpy() for c in ("doc_id", "label", "minor", "n_shingles"))
-    out = []
-    for i, (doc, label, m) in enumerate(zip(left["doc_id"], left["label"], left["n_shingles"], strict=True)):
-        due = np.flatnonzero((labels != label) & (~minor | (ids > doc)))
-        if len(due):
-            _, ok = passes(np.broadcast_to(x[i], (len(due), REGISTERS)), y[due], np.full(len(due), m), n[due], s)
-            out += [(min(doc, o), max(doc, o)) for o in ids[due[ok]]]
+    """Links of one tile: its minor members against all members of other components that share a
+    band, best estimate first. One link from a document to a component is enough to join the two."""
+    sets, regs = [], []
+    for lo, hi, data, off in K.chunks(pa.array(rows["text"], pa.string())):
+        h, bounds = shingle_sets(data, off, s.width)
+        sets += [h[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        regs.append(registers(h, np.repeat(np.arange(hi - lo), np.diff(bounds)), hi - lo))
+    regs = np.concatenate(regs)
+    keys, n = band_keys(regs), np.array([len(x) for x in sets])
+    ids, labels, minor, side = (rows[c].to_numpy() for c in ("doc_id", "label", "minor", "side"))
+    right, out = np.flatnonzero(side == 1), []
+    for i in np.flatnonzero(side == 0):
+        due = right[(labels[right] != labels[i]) & (~minor[right] | (ids[right] > ids[i]))]
+        due = due[(keys[due] == keys[i]).any(axis=1)]
+        if not len(due):
+            continue
+        estimate, ok = passes(np.broadcast_to(regs[i], (len(due), REGISTERS)), regs[due], np.full(len(due), n[i]), n[due], s)
+        joined: set[int] = set()
+        for j in due[ok][np.argsort(-estimate[ok], kind="stable")]:
+            if labels[j] not in joined and _linked(sets[i], sets[j], s):
+                joined.add(labels[j])
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _tiles(rows: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
-    """Estimated pairs of large buckets. ``rows``: key, doc_id, label, minor, n, n_minor."""
+def _tiles(rows: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Links in large buckets. ``rows``: key, doc_id, label, major, minor. Buckets with the same largest
+    component are compared as one group, so a document is sent once for all its bands."""
+    members = reliable_checkpoint(rows.groupBy("major", "doc_id", "label").agg(F.max("minor").alias("minor")))
+    sizes = members.groupBy("major").agg(F.count("*").alias("n"), F.count_if("minor").alias("n_minor"))
+    rows = members.join(sizes, "major")
     blocks = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     block = lambda c: F.pmod(F.xxhash64("doc_id"), blocks(c)).cast("int")
     other = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    cols = ["key", "doc_id", "label", "minor"]
+    cols = ["major", "doc_id", "label", "minor"]
     left = rows.where("minor").select(*cols, F.lit(0).alias("side"), block("n_minor").alias("i"), other("n").alias("j"))
     right = rows.select(*cols, F.lit(1).alias("side"), block("n").alias("j"), other("n_minor").alias("i")).select(left.columns)
-    own = sketches.select("doc_id", "n_shingles", "registers").join(bounded_broadcast(rows.select("doc_id").distinct()), "doc_id", "left_semi")
-    return left.union(right).join(own, "doc_id").groupBy("key", "i", "j").applyInPandas(lambda t: _tile(t, s), "a long, b long").distinct()
+    texts = docs.join(bounded_broadcast(members.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    return left.union(right).join(texts, "doc_id").groupBy("major", "i", "j").applyInPandas(lambda t: _tile(t, s), "a long, b long")
 
 
-def _second_step(members: DataFrame, labels: DataFrame, tried: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
-    """Pairs left to verify: in buckets of several components, across components, not tried yet."""
+def _second_step(members: DataFrame, labels: DataFrame, tried: DataFrame, sketches: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Verified links in buckets of several components, across components."""
     rows = reliable_checkpoint(members.join(labels, members["doc_id"] == labels["node"], "left")
                                .select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")))
     sizes = (rows.groupBy("key", "label").agg(F.count("*").alias("n"))
              .groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("largest")))
-    mixed = sizes.where("labels > 1").select("key", "n", F.col("largest.label").alias("major"), (F.col("n") - F.col("largest.n")).alias("n_minor"))
-    rows = reliable_checkpoint(rows.join(mixed, "key").withColumn("minor", F.col("label") != F.col("major")).drop("major"))
+    mixed = sizes.where("labels > 1").select("key", "n", F.col("largest.label").alias("major"))
+    rows = reliable_checkpoint(rows.join(mixed, "key").withColumn("minor", F.col("label") != F.col("major")))
     small, large = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") > SMALL)
     x, y = small.alias("x"), small.alias("y")
     near = (x.join(y, F.col("x.key") == F.col("y.key")).where(
         F.col("x.minor") & (F.col("x.label") != F.col("y.label")) & (~F.col("y.minor") | (F.col("x.doc_id") < F.col("y.doc_id"))))
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct())
     pairs = estimated(reliable_checkpoint(near.join(tried, ["a", "b"], "left_anti")), sketches, s)
-    if not large.isEmpty():
-        pairs = pairs.union(_tiles(large, sketches, s).join(tried, ["a", "b"], "left_anti")).distinct()
-    return reliable_checkpoint(pairs)
+    links = verified(reliable_checkpoint(pairs), docs, s)
+    return links if large.isEmpty() else links.union(_tiles(large, docs, s))
 
 
 def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -300,7 +318,7 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     found = verified(reliable_checkpoint(estimated(tried, sketches, s)), docs, s)
     labels = components(found)
     # Step 2: what is left between components; links there join whole components.
-    more = verified(_second_step(members.select("key", "doc_id"), labels, tried, sketches, s), docs, s)
+    more = _second_step(members.select("key", "doc_id"), labels, tried, sketches, docs, s)
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     joined = reliable_checkpoint(more.join(of("a"), "a", "left").join(of("b"), "b", "left")
                                  .select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).distinct())
