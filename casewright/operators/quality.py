@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.text import norm_key, py_strip
+from casewright.operators.common import reliable_checkpoint
 
 SAMPLE_IDS = 5
 # Default seed of the reference's splits and samples (fixed value).
@@ -77,7 +78,8 @@ def duplicate_rows(df: DataFrame, id_col: str = "tweet_id", text_col: str = "tex
     keyed = df.select(F.col(id_col).alias("tweet_id"), F.explode(F.map_from_arrays(
         F.array(F.lit("tweet_id"), F.lit("text")),
         F.array(F.col(id_col).cast("string"), F.sha2(norm_key(text_col), 256)))).alias("dup_kind", "_k")).filter(F.col("_k").isNotNull())
-    many = keyed.groupBy("dup_kind", "_k").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    # written out, so that the join has an exchange of its own on both sides and a hot key can be split
+    many = reliable_checkpoint(keyed.groupBy("dup_kind", "_k").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
     return keyed.join(many, ["dup_kind", "_k"]).select("dup_kind", "tweet_id", "group_size")
 
 
