@@ -303,13 +303,16 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     sketches = reliable_checkpoint(docs.mapInArrow(lambda b: _sketch(b, s.width), _SKETCH))
     linkable = sketches.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
     # Equal sets: one representative for each.
-    classes = (linkable.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("cls", "rep"))
+    # (Written out, so that the join has its own exchange on both sides and a hot class can be split.)
+    classes = reliable_checkpoint(linkable.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+                                  .where("rep < last").select("cls", "rep"))
     rows = reliable_checkpoint(sketches.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
                                .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("node")))
     copies = rows.where(F.col("doc_id") != F.col("node")).select("doc_id")
     reps = linkable.join(bounded_broadcast(copies), "doc_id", "left_anti")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key", "pivot")
+    buckets = reliable_checkpoint(keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
+                                  .where("pivot < last").select("key", "pivot"))
     members = reliable_checkpoint(keys.join(buckets, "key"))
     # Step 1: one pivot for each member.
     shared = members.where(F.col("doc_id") != F.col("pivot")).groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
