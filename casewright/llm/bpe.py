@@ -37,9 +37,9 @@ from casewright.llm import registry
 from casewright.llm.session import prepare, read
 
 #: Distinct words that a task keeps between batches before its table starts anew.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 #: Texts turned into ids at a time, in characters.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 NONE = np.int32(-1)
 
 
@@ -80,7 +80,7 @@ class Vocabulary:
         ends = np.cumsum([len(w) for w in words])
         n = int(ends[-1]) if len(words) else 0
         token = np.append(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)], NONE)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1], before[np.append(0, ends[:-1])] = n, n  # position n is no token
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
@@ -101,7 +101,7 @@ class Vocabulary:
                 index[r].append(positions[a:b])
 
         if n:
-            add(np.arange(n))
+            add(np.arange(n, dtype=np.int32))
         while queue:
             r = heapq.heappop(queue)
             found = index.pop(r)

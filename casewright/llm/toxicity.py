@@ -99,8 +99,8 @@ def _repeated(lists: list[np.ndarray]) -> list[np.ndarray]:
     Two bit tables over the low bits of the hashes stand in for exact counts, so
     memory stays bounded; a collision only keeps a feature that could have gone.
     """
-    mask = np.uint64((1 << 26) - 1)
-    once, twice = np.zeros(1 << 26, dtype=bool), np.zeros(1 << 26, dtype=bool)
+    mask = np.uint64((1 << 25) - 1)
+    once, twice = np.zeros(1 << 25, dtype=bool), np.zeros(1 << 25, dtype=bool)
     for x in lists:
         cell = x & mask
         twice[cell[once[cell]]] = True
@@ -122,9 +122,10 @@ def _fit(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBa
         names, weights, bias = np.zeros(0, np.uint64), np.zeros(0), float(np.log((toxic + 1) / (n - toxic + 1)))
     else:
         order = np.argsort(K.mix(np.concatenate(ids).view(np.uint64)), kind="stable")
+        batch = column = flat = None  # the rows read are not needed beside the shorter ones
         lists = _repeated([lists[i] for i in order])
-        names, local = np.unique(np.concatenate(lists), return_inverse=True)
-        rows = np.split(local, np.cumsum([len(x) for x in lists])[:-1])
+        names = np.unique(np.concatenate(lists))
+        rows = [np.searchsorted(names, x).astype(np.int32) for x in lists]
         weights, bias = ftrl(rows, np.concatenate(labels)[order].astype(float), len(names), s)
     used = np.flatnonzero(weights)
     yield pa.RecordBatch.from_pydict({
