@@ -12,10 +12,12 @@ Documents are exploded to tokens and hash-joined with the index on the anchor;
 where the second token is at its place too, the document's window is canonicalised
 and must have the template of the indexed window (or, for texts in other case, its
 literal cores).
-The windows of one alignment of document and item then vote on the slots: each
-slot value of the item must stand for one value of the document and the other
-way round, else the alignment does not count. A document is contaminated by an item
-when at least ``Settings.coverage`` of the item's windows are found.
+The windows of one alignment of document and item then vote on the slots: the pairs
+(item value, document value) in most windows make a map, and a window with a pair
+against the map does not count. No two item values stand for one document value, and
+a name or unit stands for one value; equal numbers may be different quantities, so
+one number may stand for several. Units count as equal in singular and plural. A document is contaminated by
+an item when at least ``Settings.coverage`` of the item's windows are found.
 
 Only anchor hits leave the scan; the index is broadcast up to ``INDEX_ROWS``
 windows and joined by shuffle beyond. Groups are (document, item, alignment),
@@ -45,6 +47,9 @@ UNITS = ["%", "percent", "mm", "cm", "m", "km", "inch", "inches", "ft", "feet",
          "mg", "g", "kg", "gram", "grams", "ton", "tons", "oz", "lb", "lbs", "pound", "pounds", "ml", "l", "liter", "liters",
          "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
          "cent", "cents", "dollar", "dollars", "euro", "euros", "degree", "degrees"]
+#: Units of more than one form, with the form that stands for them.
+UNIT_FORMS = {"percent": "%", "inches": "inch", "feet": "ft", "foot": "ft", "lbs": "lb", "pounds": "pound", "grams": "gram"} | {
+    f"{u}s": u for u in ("yard", "mile", "ton", "liter", "second", "minute", "hour", "day", "week", "month", "year", "cent", "dollar", "euro", "degree")}
 SPACE = r"[\x20\x09-\x0D]+"
 PUNCTUATION = ".,;:!?()[]{}<>\"'`*_#|"
 NUMBER = r"^[+-]?[$€£]?[0-9]+([.,:/][0-9]+)*%?$"
@@ -130,16 +135,39 @@ def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
     return same.select("doc_id", "item_id", "item_at", "doc_at", "n", "n_windows", slots.alias("slots"))
 
 
+def value(kind: Column, text: Column) -> Column:
+    """A slot's value for the map: units in one form for singular and plural."""
+    return F.when(kind == "<unit>", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in UNIT_FORMS.items() for x in pair]), text), text)).otherwise(text)
+
+
+def voted(alignment: DataFrame) -> DataFrame:
+    """``alignment`` without the windows that hold a slot against the map of most windows.
+    A window is voided alone: the others of its alignment stay."""
+    pair = lambda z: F.struct(z["item_template"].alias("kind"), value(z["item_template"], z["item_cores"]).alias("a"),
+                              value(z["item_template"], z["doc_cores"]).alias("b"))
+    pairs = F.flatten(F.transform("found", lambda w: F.array_distinct(F.transform(w["slots"], pair))))
+    votes = F.transform(F.array_distinct("pairs"), lambda p: F.struct((-F.size(F.filter("pairs", lambda q: q == p))).alias("n"), p.alias("p")))
+    against = lambda p, q: (p["kind"] == q["kind"]) & (((p["b"] == q["b"]) & (p["a"] != q["a"]))
+                                                       | ((p["a"] == q["a"]) & (p["b"] != q["b"]) & (p["kind"] != "<num>")))
+    chosen = F.aggregate(F.transform(F.array_sort(votes), lambda v: v["p"]), F.filter("pairs", lambda p: F.lit(False)),
+                         lambda kept, p: F.when(F.exists(kept, lambda q: against(p, q)), kept).otherwise(F.array_append(kept, p)))
+    good = F.filter("found", lambda w: F.forall(w["slots"], lambda z: F.array_contains(F.col("map"), pair(z))))
+    return (alignment.withColumn("pairs", pairs).withColumn("map", chosen).withColumn("found", good)
+            .where(F.size("found") > 0).drop("pairs", "map"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, n_windows, matched, coverage, first_token, last_token, n_slots, reparameterised)."""
     prepare(docs.sparkSession)
     alignment = (hits(docs, index(docs, benchmark, s)).groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
-                 .agg(F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-                      F.max("n_windows").alias("n_windows"), F.min("doc_at").alias("first"), F.max(F.col("doc_at") + F.col("n") - 1).alias("last")))
-    side = lambda c: F.size(F.array_distinct(F.transform("slots", lambda z: F.struct(z["item_template"], z[c]))))
-    consistent = alignment.where((side("item_cores") == F.size("slots")) & (side("doc_cores") == F.size("slots")))
-    changed = F.exists("slots", lambda z: z["item_cores"] != z["doc_cores"])
-    rows = (consistent.withColumn("changed", changed).withColumn("n_slots", F.size("slots")).select("*", F.explode("found").alias("item_at"))
+                 .agg(F.collect_set(F.struct("item_at", F.col("doc_at").alias("first"), (F.col("doc_at") + F.col("n") - 1).alias("last"), "slots")).alias("found"),
+                      F.max("n_windows").alias("n_windows")))
+    consistent = voted(alignment)
+    slots = F.array_distinct(F.flatten(F.transform("found", lambda w: w["slots"])))
+    changed = F.exists(slots, lambda z: z["item_cores"] != z["doc_cores"])
+    rows = (consistent.withColumn("changed", changed).withColumn("n_slots", F.size(slots))
+            .select("*", F.explode("found.item_at").alias("item_at"))
+            .withColumns({"first": F.array_min("found.first"), "last": F.array_max("found.last")})
             .groupBy("doc_id", "item_id").agg(
                 F.max("n_windows").alias("n_windows"), F.count_distinct("item_at").alias("matched"),
                 F.min("first").alias("first_token"), F.max("last").alias("last_token"),

@@ -196,6 +196,21 @@ def test_templates_catch_other_numbers_and_names_if_they_are_consistent(spark):
     assert not got[0, 1].reparameterised and got[1, 1].reparameterised and got[0, 1].coverage == 1.0
 
 
+def test_a_conflict_voids_only_its_windows(spark):
+    hours = "The slow ferry needs 1 hour to cross the wide bay and then it waits for 3 hours in the old harbour before it sails back"
+    boxes = "A farmer packs 10 boxes with 10 eggs each and drives them to the market where half of all the eggs are sold"
+    other = boxes.replace("10 boxes", "8 boxes")
+    long = other + " before noon while the rest goes to a small shop near the river"
+    items = [(1, hours), (2, boxes), (3, other), (4, long)]
+    six = lambda t: t.replace("8 boxes with 10", "6 boxes with 6")
+    texts = [hours.replace("1 hour", "2 hours").replace("3 hours", "4 hours"), boxes.replace("10 eggs", "12 eggs"), six(other), six(long)]
+    got = contaminated(spark, texts, items)
+    assert got[0, 1].coverage == 1.0 and got[0, 1].reparameterised      # hour and hours are one unit
+    assert got[1, 2].coverage == 1.0 and got[1, 2].reparameterised      # equal numbers, different quantities
+    assert got[3, 4].n_windows - got[3, 4].matched == 4                 # only the windows of one slot are lost
+    assert (2, 3) not in got                                            # two values made one: short items stay below the coverage
+
+
 def test_short_empty_and_equal_items(spark):
     items = [(1, "alpha beta"), (2, None), (3, " "), (4, "alpha beta"), (5, "1 2 3 4 5 6")]
     got = contaminated(spark, ["say Alpha, beta!", "alpha gamma", "1 2 3 4 5 6"], items)
