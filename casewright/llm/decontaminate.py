@@ -1,9 +1,13 @@
 """Benchmark decontamination by template canonicalisation (DataFrame functions only).
 
-Texts are cut at white space; a token's core is its lower-cased form without
-punctuation at its ends. Canonicalisation puts typed placeholders for numbers
+Texts are cut at white space and between a number and what is joined to it (12kg,
+3-page, 5th); a token's core is its lower-cased form without
+punctuation at its ends. Canonicalisation puts typed placeholders for numbers and number words
 (<num>), units after a number (<unit>) and names (<name>: a capitalised token within a
 sentence), so that a question with other numbers or names has the same template.
+A capitalised token of an item that opens a sentence is a name too if no document has it in lower
+case or the benchmark has it capitalised within a sentence; any capitalised token of a document may
+stand there. It counts as a slot only where the document has another name.
 
 Every window of ``Settings.window`` template tokens of a benchmark item (an item
 with fewer is one window) is indexed under its anchor, the literal token that is
@@ -26,7 +30,7 @@ so none has more rows than an item has windows, whatever many documents share.
 Edge cases: null and empty texts, and items without a word, match nothing;
 windows of placeholders only are not indexed and not counted. Equal items are
 reported each. Rows with a null doc_id cannot be reported; rows with the same
-doc_id are one document. Extra columns are not read; ``keep`` returns them.
+doc_id are one document. Positions in the output count tokens cut at white space. Extra columns are not read; ``keep`` returns them.
 """
 
 from __future__ import annotations
@@ -46,16 +50,37 @@ INDEX_ROWS = 200_000
 UNITS = ["%", "percent", "mm", "cm", "m", "km", "inch", "inches", "ft", "feet", "foot", "yard", "yards", "mile", "miles",
          "mg", "g", "kg", "gram", "grams", "ton", "tons", "oz", "lb", "lbs", "pound", "pounds", "ml", "l", "liter", "liters",
          "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
-         "cent", "cents", "dollar", "dollars", "euro", "euros", "degree", "degrees"]
+         "cent", "cents", "dollar", "dollars", "euro", "euros", "degree", "degrees",
+         "mph", "kmh", "km/h", "kph", "m/s", "hr", "hrs", "h", "min", "mins", "sec", "secs", "s", "ms", "yr", "yrs", "litre", "litres", "metre", "metres",
+         "meter", "meters", "kilometre", "kilometres", "kilometer", "kilometers", "centimeter", "centimeters", "millimeter", "millimeters", "kilogram",
+         "kilograms", "kilo", "kilos", "gallon", "gallons", "pint", "pints", "cup", "cups", "ounce", "ounces", "yd", "yds", "mi", "acre", "acres", "gb", "mb",
+         "kb", "tb", "kw", "kwh", "watt", "watts", "volt", "volts", "hz", "khz", "mhz", "ghz", "usd", "eur", "gbp", "st", "nd", "rd", "th"]
+#: Number words; a ten and a one joined by a hyphen are one number.
+ONES = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+NUMBER_WORDS = ["zero", *ONES, "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", *TENS,
+                "hundred", "thousand", "million", "billion", "dozen"]
 #: Units of more than one form, with the form that stands for them.
-UNIT_FORMS = {"percent": "%", "inches": "inch", "feet": "ft", "foot": "ft", "lbs": "lb", "pounds": "pound", "grams": "gram"} | {
-    f"{u}s": u for u in ("yard", "mile", "ton", "liter", "second", "minute", "hour", "day", "week", "month", "year", "cent", "dollar", "euro", "degree")}
+UNIT_FORMS = {"percent": "%", "inches": "inch", "feet": "ft", "foot": "ft", "lbs": "lb", "pounds": "pound", "grams": "gram",
+              "st": "th", "nd": "th", "rd": "th", "kph": "kmh", "km/h": "kmh", "hrs": "hr", "mins": "min", "secs": "sec", "yrs": "yr", "yds": "yd"} | {
+    f"{u}s": u for u in ("litre", "metre", "meter", "kilometre", "kilometer", "centimeter", "millimeter", "kilogram", "kilo", "gallon", "pint", "cup", "ounce",
+                         "acre", "watt", "volt", "yard", "mile", "ton", "liter", "second", "minute", "hour", "day", "week", "month", "year", "cent", "dollar", "euro", "degree")}
 SPACE = r"[\x20\x09-\x0D]+"
 PUNCTUATION = ".,;:!?()[]{}<>\"'`*_#|"
+#: Starts a token that is joined to the one before it.
+JOINED = "\x01"
+_WORDS = "|".join(NUMBER_WORDS)
+JOINT = (r"(?<=[0-9])-?(?=\p{L})|(?<=\p{L})-?(?=[0-9])|(?<=[0-9])-(?=[0-9])"
+         rf"|-(?<=\b(?i:{_WORDS})-)(?=\p{{L}})(?!(?i:{'|'.join(ONES)})\b)")
+#: In every text with a joint, and quick to look for.
+HINT = r"[0-9]-?\p{L}|[0-9]-[0-9]|(?<=\p{L}-?)[0-9]|(?<=\p{L})-(?=\p{L})"
+NUMBER_WORD = rf"^({_WORDS}|({'|'.join(TENS)})-({'|'.join(ONES)}))$"
 NUMBER = r"^[+-]?[$€£]?[0-9]+([.,:/][0-9]+)*%?$"
 CAPITALISED = r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}+[^\p{L}\p{N}]*$"
 SENTENCE_END = r"[.!?:][\"')\]]*$"
-SLOTS = ["<num>", "<unit>", "<name>"]
+#: A sentence-opening name of an item.
+OPENER = "<opener>"
+SLOTS = ["<num>", "<unit>", "<name>", OPENER]
 
 
 @dataclass(frozen=True)
@@ -65,20 +90,35 @@ class Settings:
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE), "")
+    text = F.translate(F.coalesce(text.cast("string"), F.lit("")), JOINED, " ")
+    # Few texts have a joint; the others are spared the search with its look-behinds.
+    text = F.when(text.rlike(HINT), F.regexp_replace(text, JOINT, f" {JOINED}")).otherwise(text)
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def core(token: Column) -> Column:
-    return F.lower(F.btrim(token, F.lit(PUNCTUATION)))
+    return F.lower(F.btrim(token, F.lit(JOINED + PUNCTUATION)))
+
+
+def is_number(word: Column) -> Column:
+    return word.rlike(NUMBER) | word.rlike(NUMBER_WORD)
+
+
+def capitalised(token: Column) -> Column:
+    return token.rlike(CAPITALISED) & ~core(token).rlike(NUMBER_WORD)
+
+
+def opens(before: Column) -> Column:
+    return (before == "") | before.rlike(SENTENCE_END)
 
 
 def template(part: Column) -> Column:
     """Template of all but the first of ``part``, the first being the token before it ('' without one)."""
     def canonical(token: Column, i: Column) -> Column:
         before = F.get(part, i)
-        return (F.when(core(token).rlike(NUMBER), F.lit("<num>"))
-                .when(core(token).isin(UNITS) & core(before).rlike(NUMBER), F.lit("<unit>"))
-                .when((before != "") & token.rlike(CAPITALISED) & ~before.rlike(SENTENCE_END), F.lit("<name>"))
+        return (F.when(is_number(core(token)), F.lit("<num>"))
+                .when(core(token).isin(UNITS) & is_number(core(before)), F.lit("<unit>"))
+                .when(token.rlike(CAPITALISED) & ~opens(before), F.lit("<name>"))
                 .otherwise(core(token)))
     return F.transform(F.slice(part, 2, F.size(part)), canonical)
 
@@ -95,26 +135,41 @@ def _windows(benchmark: DataFrame, s: Settings) -> DataFrame:
     items = items.where(F.size("toks") > 0).withColumn("n", F.least(F.size("toks"), F.lit(s.window)))
     rows = (items.select("item_id", "toks", "n", F.explode(F.sequence(F.lit(0), F.size("toks") - F.col("n"))).alias("item_at"))
             .withColumn("part", window(F.col("toks"), F.col("item_at"), F.col("n"))))
-    return rows.select("item_id", "item_at", "n", template(F.col("part")).alias("item_template"),
-                       F.transform(F.slice("part", 2, F.col("n")), core).alias("item_cores"))
+    part = F.slice("part", 2, F.col("n"))
+    return rows.select("item_id", "item_at", "n", template(F.col("part")).alias("item_template"), F.transform(part, core).alias("item_cores"),
+                       F.transform(part, lambda t, i: capitalised(t) & opens(F.get("part", i))).alias("openers"))
 
 
 def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
     """One row for each token of each document that has an id."""
-    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"))
+    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Positions of the tokens that are joined to the one before.
+    joints = F.filter(F.transform("toks", lambda t, i: F.when(t.startswith(JOINED), i)), lambda i: i.isNotNull())
+    joints = F.when(F.col("text").rlike(HINT), joints).otherwise(F.array().cast("array<int>"))
+    if "joints" in keep:
+        own = own.withColumn("joints", joints)
     return own.select(*keep, F.posexplode("toks").alias("at", "token")).withColumn("anchor", core(F.col("token")))
 
 
 def index(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
     """One row for each indexed window of each item, with its two rarest literal tokens."""
     rows = reliable_checkpoint(_windows(benchmark, s))
-    literal = rows.select("item_id", "item_at", F.posexplode("item_template").alias("place", "anchor")).where(~F.col("anchor").isin([*SLOTS, ""]))
+    literal = (rows.select("item_id", "item_at", "openers", F.posexplode("item_template").alias("place", "anchor"))
+               .where(~F.col("anchor").isin([*SLOTS, ""])).withColumn("opener", F.get("openers", F.col("place"))).drop("openers"))
+    named = (rows.select(F.explode(F.arrays_zip("item_template", "item_cores")).alias("z")).where("z.item_template = '<name>'")
+             .select(F.col("z.item_cores").alias("anchor"), F.lit(True).alias("named")).distinct())
     words = reliable_checkpoint(literal.select("anchor").distinct())
-    seen = _tokens(docs).join(bounded_broadcast(words, INDEX_ROWS), "anchor").groupBy("anchor").agg(F.count("*").alias("seen"))
-    rarest = (literal.join(seen, "anchor", "left").groupBy("item_id", "item_at")
-              .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "anchor", "place"))).alias("r")))
+    seen = _tokens(docs).join(bounded_broadcast(words, INDEX_ROWS), "anchor").groupBy("anchor").agg(
+        F.count("*").alias("seen"), F.max(F.btrim("token", F.lit(JOINED + PUNCTUATION)) == F.col("anchor")).alias("lower"))
+    name = F.col("opener") & (F.coalesce("named", F.lit(False)) | ~F.coalesce("lower", F.lit(False)))
+    # Names come last; a window whose words are all names keeps them as words.
+    rarest = (literal.join(seen, "anchor", "left").join(named, "anchor", "left").groupBy("item_id", "item_at")
+              .agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), F.coalesce("seen", F.lit(0)).alias("seen"), "anchor", "place"))).alias("r"))
+              .withColumn("names", F.filter("r", lambda z: z["name"] & ~F.get("r", F.lit(0))["name"])["place"])
+              .withColumn("r", F.filter("r", lambda z: z["name"] == F.get("r", F.lit(0))["name"])))
+    put = F.transform("item_template", lambda t, i: F.when(F.array_contains("names", i), F.lit(OPENER)).otherwise(t))
     rows = rows.join(rarest, ["item_id", "item_at"]).select(
-        "item_id", "item_at", "n", "item_template", "item_cores", F.get("r", F.lit(0))["anchor"].alias("anchor"),
+        "item_id", "item_at", "n", put.alias("item_template"), "item_cores", F.get("r", F.lit(0))["anchor"].alias("anchor"),
         F.get("r", F.lit(0))["place"].alias("anchor_at"), F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0))).alias("second"))
     windows = rows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     return reliable_checkpoint(rows.join(windows, "item_id").withColumns({"second_at": F.col("second.place"), "second": F.col("second.anchor")}))
@@ -124,15 +179,20 @@ def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row for each document window with the template or the cores of an indexed window."""
     start = F.col("at") - F.col("anchor_at")
     inside = (start >= 0) & (start + F.col("n") <= F.size("toks"))
-    near = (_tokens(docs, "doc_id", "toks").join(bounded_broadcast(found, INDEX_ROWS), "anchor")
+    near = (_tokens(docs, "doc_id", "toks", "joints").join(bounded_broadcast(found, INDEX_ROWS), "anchor")
             .where(inside & (core(F.get("toks", start + F.col("second_at"))) == F.col("second")))
             # The window leaves its document here; the generator keeps later filters above it.
-            .select("doc_id", "item_id", "item_at", "n", "n_windows", "item_template", "item_cores", start.alias("doc_at"),
+            .select("doc_id", "item_id", "item_at", "n", "n_windows", "item_template", "item_cores", "joints", start.alias("doc_at"),
                     F.explode(F.array(window(F.col("toks"), start, F.col("n")))).alias("part"))
             .withColumn("doc_cores", F.transform(F.slice("part", 2, F.col("n")), core)))
-    same = near.where((F.col("doc_cores") == F.col("item_cores")) | (template(F.col("part")) == F.col("item_template")))
+    fits = F.zip_with(template(F.col("part")), F.sequence(F.lit(0), F.col("n") - 1), lambda t, i: (
+        (t == F.get("item_template", i)) | ((F.get("item_template", i) == OPENER)
+                                            & ((F.get("doc_cores", i) == F.get("item_cores", i)) | capitalised(F.get("part", i + 1))))))
+    same = near.where((F.col("doc_cores") == F.col("item_cores")) | F.forall(fits, lambda x: x))
     slots = F.filter(F.arrays_zip("item_template", "item_cores", "doc_cores"), lambda z: z["item_template"].isin(SLOTS))
-    return same.select("doc_id", "item_id", "item_at", "doc_at", "n", "n_windows", slots.alias("slots"))
+    at = lambda i: i - F.size(F.filter("joints", lambda j: j <= i))
+    return same.select("doc_id", "item_id", "item_at", "doc_at", "n", "n_windows", slots.alias("slots"),
+                       at(F.col("doc_at")).alias("first"), at(F.col("doc_at") + F.col("n") - 1).alias("last"))
 
 
 def value(kind: Column, text: Column) -> Column:
@@ -143,7 +203,8 @@ def value(kind: Column, text: Column) -> Column:
 def voted(alignment: DataFrame) -> DataFrame:
     """``alignment`` without the windows that hold a slot against the map of most windows.
     A window is voided alone: the others of its alignment stay."""
-    pair = lambda z: F.struct(z["item_template"].alias("kind"), value(z["item_template"], z["item_cores"]).alias("a"),
+    kind = lambda z: F.when(z["item_template"] == OPENER, "<name>").otherwise(z["item_template"])
+    pair = lambda z: F.struct(kind(z).alias("kind"), value(z["item_template"], z["item_cores"]).alias("a"),
                               value(z["item_template"], z["doc_cores"]).alias("b"))
     pairs = F.flatten(F.transform("found", lambda w: F.array_distinct(F.transform(w["slots"], pair))))
     votes = F.transform(F.array_distinct("pairs"), lambda p: F.struct((-F.size(F.filter("pairs", lambda q: q == p))).alias("n"), p.alias("p")))
@@ -160,10 +221,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     """(doc_id, item_id, n_windows, matched, coverage, first_token, last_token, n_slots, reparameterised)."""
     prepare(docs.sparkSession)
     alignment = (hits(docs, index(docs, benchmark, s)).groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
-                 .agg(F.collect_set(F.struct("item_at", F.col("doc_at").alias("first"), (F.col("doc_at") + F.col("n") - 1).alias("last"), "slots")).alias("found"),
+                 .agg(F.collect_set(F.struct("item_at", "first", "last", "slots")).alias("found"),
                       F.max("n_windows").alias("n_windows")))
     consistent = voted(alignment)
-    slots = F.array_distinct(F.flatten(F.transform("found", lambda w: w["slots"])))
+    counted = lambda z: (z["item_template"] != OPENER) | (z["item_cores"] != z["doc_cores"])
+    slots = F.array_distinct(F.flatten(F.transform("found", lambda w: F.filter(w["slots"], counted))))
     changed = F.exists(slots, lambda z: z["item_cores"] != z["doc_cores"])
     rows = (consistent.withColumn("changed", changed).withColumn("n_slots", F.size(slots))
             .select("*", F.explode("found.item_at").alias("item_at"))

@@ -211,6 +211,21 @@ def test_a_conflict_voids_only_its_windows(spark):
     assert (2, 3) not in got                                            # two values made one: short items stay below the coverage
 
 
+def test_joined_numbers_number_words_units_and_opening_names_are_slots(spark):
+    crate = "A crate of 12kg stands on the old cart. Anna pulls it for 5 minutes up the steep hill road"
+    letter = "Martin writes a 3-page letter to 2 friends and sends it by the slow night train"
+    speed = "the truck drives at 60 mph for three hours on the 5th day and then rests in the old yard"
+    items = [(1, crate), (2, letter), (3, speed)]
+    texts = ["the cart and a crate. " + crate.replace("12kg", "15kg").replace("Anna", "Lisa").replace("5 min", "7 min"),
+             "he writes. 4x4 cars. " + letter.replace("Martin", "Peter").replace("3-page", "5-page").replace("2 fr", "4 fr"),
+             speed.replace("60 mph", "80 kmh").replace("three", "seven").replace("5th", "2nd"),
+             letter.replace("writes", "reads").replace("friends", "dogs")]
+    got = contaminated(spark, texts, items)
+    assert set(got) == {(0, 1), (1, 2), (2, 3)}
+    assert all(r.coverage == 1.0 and r.reparameterised for r in got.values())
+    assert (got[1, 2].first_token, got[1, 2].last_token) == (4, 4 + len(letter.split()) - 1)   # tokens cut at white space
+
+
 def test_short_empty_and_equal_items(spark):
     items = [(1, "alpha beta"), (2, None), (3, " "), (4, "alpha beta"), (5, "1 2 3 4 5 6")]
     got = contaminated(spark, ["say Alpha, beta!", "alpha gamma", "1 2 3 4 5 6"], items)
