@@ -2,6 +2,7 @@
 
 #: Public license notices and the short statements that name a license.
 TEMPLATES = [
+    ("All rights reserved statement", "All rights reserved."),
     ("Apache-2.0 statement", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0 notice", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
@@ -32,6 +33,8 @@ THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRI
     ("MIT statement", "Released under the MIT License."),
     ("MPL-2.0 notice", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
 not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    # Finds the line of every license; the identifier follows the span.
+    ("SPDX identifier line", "SPDX-License-Identifier:"),
     ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
 non-commercial, and by any means."""),

@@ -141,6 +141,18 @@ def test_licenses_are_found_with_edits_and_spans(spark):
     assert license_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_every_kind_of_license_line_in_the_documents_is_found(spark):
+    lines = {"All rights reserved.": "All rights reserved statement", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 statement",
+             "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 statement",
+             "Released under the MIT License.": "MIT statement", "Licensed under the Apache License, Version 2.0.": "Apache-2.0 statement"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = {(r.doc_id, lines[r.text.split("\n")[-1]]) for r in docs.collect() if (r.text or "").split("\n")[-1] in lines}
+    assert {name for _, name in planted} == set(lines.values())
+    assert planted <= {(r.doc_id, r.license) for r in license_scan.scan(docs).collect()}
+    spdx = license_scan.scan(frame(spark, ["# SPDX-License-Identifier: Apache-2.0", "// spdx-license-identifier: MIT", "all rights of way reserved"]))
+    assert sorted((r.doc_id, r.license) for r in spdx.collect()) == [(0, "SPDX identifier line"), (1, "SPDX identifier line")]
+
+
 def longest_common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
