@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm import registry
-from casewright.llm.session import prepare, read
+from casewright.llm.session import prepare, read, shared_folder
 from casewright.operators.common import bounded_broadcast, reliable_checkpoint
 
 #: Runs that one round merges into one.
@@ -46,12 +46,14 @@ _KEY = ["run", "digest", "second", "length"]
 _RUN = "run int, digest binary, second long, length int, n_chars int, keep_id long, keep_row long, group_size long"
 
 
-def digest_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, run, digest, second, length, n_chars) of every row; texts end here."""
+def digest_rows(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, run, digest, second, length, n_chars) of every row; texts end here.
+    ``row`` is a number of each row, by default its place in the scan."""
+    row = F.monotonically_increasing_id() if row is None else row
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = F.translate(text, SPACES, "")
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("n_chars"), bare.alias("bare"))
-            .select("doc_id", F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("run"),
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.length(text).alias("n_chars"), bare.alias("bare"))
+            .select("doc_id", "row", F.spark_partition_id().alias("run"),
                     F.unhex(F.sha2("bare", 256)).alias("digest"), F.xxhash64("bare").alias("second"), F.length("bare").alias("length"), "n_chars"))
 
 
@@ -115,11 +117,14 @@ def mark(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. ``docs`` must be a table that is
-    read alike each time (a scan of files), as its rows are matched by their place in it."""
-    prepare(docs.sparkSession)
-    gone = _marked(reliable_checkpoint(digest_rows(docs))).where(~F.col("kept")).select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(bounded_broadcast(reliable_checkpoint(gone)), "_row", "left_anti").drop("_row")
+    """The rows of ``docs`` that stay, with all their columns. ``docs`` is written once with a number
+    for each row: a second scan could be split in another way and number its rows otherwise."""
+    spark = prepare(docs.sparkSession)
+    path = shared_folder(spark, "exact-dedup")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    docs = spark.read.parquet(path)
+    gone = _marked(reliable_checkpoint(digest_rows(docs, F.col("_row")))).where(~F.col("kept")).select("row").withColumnRenamed("row", "_row")
+    return docs.join(bounded_broadcast(reliable_checkpoint(gone)), "_row", "left_anti").drop("_row")
 
 
 @registry.query("op7_exact_dedup", sql=r"""
