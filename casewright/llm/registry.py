@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["toxicity", "quality", "language", "bpe", "token_counts", "exact_dedup", "warc", "license_scan", "near_dedup", "decontaminate"]
+MODULES = ["toxicity", "quality", "language", "bpe", "token_counts", "exact_dedup", "warc", "license_scan", "near_dedup", "decontaminate",
+           "hard_negatives"]
 
 
 def query(name: str, sql: str | None = None):
