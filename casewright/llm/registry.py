@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 MODULES = ["toxicity", "quality", "language", "bpe", "token_counts", "exact_dedup", "warc", "license_scan", "near_dedup", "decontaminate",
-           "hard_negatives", "line_dedup"]
+           "hard_negatives", "line_dedup", "collocations"]
 
 
 def query(name: str, sql: str | None = None):
