@@ -224,104 +224,6 @@ def _checked(path: str) -> None:
     vocabulary(path).check()
 
 
-def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of a run of ids."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
-            raise ValueError("an id is outside the vocabulary")
-        return self.bytes[spans(self.starts[ids], self.lengths[ids])].tobytes()
-
-
-def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions start, start + 1, ... of every span, one span after another."""
-    total = np.cumsum(lengths)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - lengths), lengths)
-
-
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    """Read once in each Python worker."""
-    return Vocabulary(path)
-
-
-class Numbers(dict):
-    """Numbers words in the order they are first seen; ``new`` lists those without ids yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        self.new.append(word.encode())
-        return at
-
-
-class WordTable:
-    """Distinct words seen by a task with their finished ids."""
-
-    def __init__(self, vocab: Vocabulary, pattern: str):
-        self.vocab, self.find = vocab, regex.compile(pattern).findall
-        self.clear()
-
-    def clear(self) -> None:
-        self.number = Numbers()
-        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str | None]) -> pa.Array:
-        """Ids of each text."""
-        if len(self.number) > WORDS_KEPT:
-            self.clear()
-        places: list[int] = []
-        counts, number = [], self.number
-        for text in texts:
-            words = self.find(text) if text else ()
-            counts.append(len(words))
-            places.extend(map(number.__getitem__, words))
-        if number.new:
-            ids, ends = self.vocab.replay(number.new)
-            number.new = []
-            lengths = np.diff(ends, prepend=0)
-            self.starts = np.concatenate([self.starts, ends - lengths + len(self.ids)])
-            self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
-        place = np.array(places, dtype=np.int64)
-        lengths = self.lengths[place]
-        totals = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))]
-        return pa.ListArray.from_arrays(pa.array(totals, pa.int32()), pa.array(self.ids[spans(self.starts[place], lengths)], pa.int32()))
-
-
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text."""
-    prepare(docs.sparkSession)
-    _checked(path)
-
-    @F.arrow_udf("array<int>")
-    def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = WordTable(vocabulary(path), pattern)  # goes with the task
-        for column in columns:
-            parts, some, chars = [], [], 0
-            for value in column:
-                value = value.as_py()
-                some.append(value)
-                chars += len(value or "")
-                if chars >= SLICE_CHARS:
-                    parts.append(table.encode(some))
-                    some, chars = [], 0
-            parts.append(table.encode(some))
-            yield pa.concat_arrays(parts)
-
-    return docs.withColumn(into, ids(F.col(text).cast("string")))
-
-
-@lru_cache(maxsize=2)
-def _checked(path: str) -> None:
-    vocabulary(path).check()
-
-
-@lru_cache(maxsize=2)
-def _table(path: str, pattern: str) -> WordTable:
-    return WordTable(vocabulary(path), pattern)
-
-
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its ids."""
 
