@@ -307,9 +307,13 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     classes = reliable_checkpoint(linkable.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
                                   .where("rep < last").select("cls", "rep"))
     rows = reliable_checkpoint(sketches.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
-                               .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("node")))
-    copies = rows.where(F.col("doc_id") != F.col("node")).select("doc_id")
-    reps = linkable.join(bounded_broadcast(copies), "doc_id", "left_anti")
+                               .select("doc_id", "n_shingles", "cls", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("node")))
+    # A document is left out for one text only: a repeated id may have another text of its own.
+    copies = rows.where(F.col("doc_id") != F.col("node")).select("doc_id", "cls")
+    reps = linkable.join(bounded_broadcast(copies), ["doc_id", "cls"], "left_anti")
+    # Texts of one id are one document: their classes are linked through the id.
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc_id")
+    same_id = rows.where(F.col("doc_id") != F.col("node")).join(bounded_broadcast(several), "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = reliable_checkpoint(keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
                                   .where("pivot < last").select("key", "pivot"))
@@ -319,7 +323,7 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     tried = reliable_checkpoint(shared.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best"))
                                 .select((-F.col("best.p")).alias("a"), F.col("doc_id").alias("b")))
     found = verified(reliable_checkpoint(estimated(tried, sketches, s)), docs, s)
-    labels = components(found)
+    labels = components(found.union(same_id))
     # Step 2: what is left between components; links there join whole components.
     more = _second_step(members.select("key", "doc_id"), labels, tried, sketches, docs, s)
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))

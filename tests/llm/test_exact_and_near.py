@@ -123,3 +123,15 @@ def test_registers_estimate_the_similarity_without_bias():
     assert abs(np.mean(errors)) < 0.012
     far = N.registers(np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64)), np.zeros(900, int), 1)
     assert not N.passes(x, far, n, n, N.Settings())[1][0]
+
+
+def test_near_a_repeated_id_links_what_its_texts_link(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, b), (5, a), (5, b), (9, a + " more"), (12, "something else entirely"), (20, a), (20, "something else entirely")]
+    got = N.link(frame(spark, rows), N.Settings(width=2)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id, r.kept) for r in got} == {
+        (1, 1, True), (5, 1, False), (9, 1, False), (12, 1, False), (20, 1, False)}
+    rows = [(3, "p q r"), (7, "x y z"), (7, "u v w"), (8, "u v w")]
+    got = N.link(frame(spark, rows), N.Settings(width=2)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(3, 3, True), (7, 7, True), (8, 7, False)}
+    assert sorted(r.text for r in N.keep(frame(spark, rows), N.Settings(width=2)).collect()) == ["p q r", "u v w", "x y z"]
