@@ -35,8 +35,11 @@ from casewright.llm import kernels as K
 from casewright.llm import labelled as L
 from casewright.llm import registry
 from casewright.llm.session import prepare, read
+from casewright.operators.common import bounded_broadcast, reliable_checkpoint
 
 UNKNOWN = "und"
+#: Languages whose counts are broadcast at most.
+LANGUAGES_MAX = 10_000
 
 
 @dataclass(frozen=True)
@@ -148,7 +151,7 @@ def fit(train: DataFrame, s: Settings = Settings()) -> Model | None:
     idf = np.log((1 + n[None]) / (1 + np.array([n[b] for b in range(s.buckets)]))) + 1
     # A share of each language by the hash of the id leaves little more than the bound to be ranked.
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = bounded_broadcast(reliable_checkpoint(train.groupBy("lang").agg(F.count("*").alias("n"))), LANGUAGES_MAX)
     place = F.xxhash64(F.col("doc_id"), F.lit(7)) / 2.0 ** 64 + 0.5
     sample = (train.select("doc_id", "lang").join(sizes, "lang").withColumn("place", place)
               .where(F.col("place") <= (1.2 * s.sample_rows + 100) / F.col("n"))
