@@ -199,8 +199,10 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the normalised archives, each fetched by its offset."""
-    spans = (read_index(spark, folder).repartition("archive", F.floor(F.col("offset") / READ_SPAN))
+    """Every record of the normalised archives, each fetched by its offset, in tasks of about ``READ_SPAN`` bytes."""
+    index = read_index(spark, folder)
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // READ_SPAN
+    spans = (index.repartition(max(tasks, spark.sparkContext.defaultParallelism), "archive", F.floor(F.col("offset") / READ_SPAN))
              .sortWithinPartitions("archive", "offset").select("archive", "offset", "length"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
