@@ -1,10 +1,12 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct 64-bit hashes of its words (A-Z
-lower-cased, cut at white space and ASCII punctuation), of its word pairs and
-of its pairs that skip one word, each value 1. Training is FTRL-proximal with
+Features of a text are its words (A-Z lower-cased, cut at white space and ASCII
+punctuation), its word pairs and its pairs that skip one word, hashed to
+2^``Settings.bits`` coordinates, each distinct one with value 1. Training is FTRL-proximal with
 a learning rate per coordinate; the L1 term sets most weights to exactly 0,
-so the model is a short sorted table that is broadcast by its known bound.
+so the model is a short sorted table that is broadcast by its known bound. The
+fit holds two numbers for each coordinate and the sample's coordinates as
+32-bit numbers (about 64 MB and 7 KB a row of usual length), whatever the corpus.
 
 Training reads at most ``Settings.sample_rows`` labelled rows of the training
 fold (a documented bound; the sample is chosen by a hash of the id). Scoring
@@ -42,6 +44,7 @@ class Settings:
     ``l1`` holds for a full sample and shrinks with the root of the share that there is."""
 
     sample_rows: int = 16000
+    bits: int = 22
     folds: int = 5
     threshold: float = 0.5
     alpha: float = 1.0
@@ -51,24 +54,25 @@ class Settings:
     epochs: int = 3
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, document) of words, word pairs and pairs with one word between; repeats included."""
+def features(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinate, document) of words, word pairs and pairs with one word between; repeats included."""
     words, doc = K.word_hashes(data, off, SEPARATORS)
     parts = [(words, doc), K.ngram_hashes(words, doc, 2), K.ngram_hashes(words, doc, 2, skip=1)]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    fold = K.U64(64 - bits)
+    return np.concatenate([(p[0] >> fold).astype(np.int32) for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _feature_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """(label, features) of each sampled text, features distinct and sorted."""
     for batch in batches:
         for lo, hi, data, off in K.chunks(batch.column("text")):
-            feats, doc = features(data, off)
+            feats, doc = features(data, off, bits)
             order = np.argsort(doc, kind="stable")
             feats, ends = feats[order], np.searchsorted(doc[order], np.arange(1, hi - lo))
-            lists = [np.unique(x).view(np.int64) for x in np.split(feats, ends)]
+            lists = [np.unique(x) for x in np.split(feats, ends)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").slice(lo, hi - lo), "label": batch.column("label").slice(lo, hi - lo),
-                "features": pa.array(lists, pa.list_(pa.int64()))})
+                "features": pa.array(lists, pa.list_(pa.int32()))})
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, n_features: int, s: Settings) -> tuple[np.ndarray, float]:
@@ -93,68 +97,46 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, n_features: int, s: Setting
     return weight(z, n), bias
 
 
-def _repeated(lists: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows without features that no other row has (they say nothing about other texts).
-
-    Two bit tables over the low bits of the hashes stand in for exact counts, so
-    memory stays bounded; a collision only keeps a feature that could have gone.
-    """
-    mask = np.uint64((1 << 25) - 1)
-    once, twice = np.zeros(1 << 25, dtype=bool), np.zeros(1 << 25, dtype=bool)
-    for x in lists:
-        cell = x & mask
-        twice[cell[once[cell]]] = True
-        once[cell] = True
-    return [x[twice[x & mask]] for x in lists]
-
-
 def _fit(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """One task over the bounded sample: rows (feature, weight); the bias has no feature."""
-    ids, labels, lists = [], [], []
+    ids, labels, rows = [], [], []
     for batch in batches:
         column = batch.column("features")
-        flat, ends = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
-        lists += [flat[a:b] for a, b in zip(ends, ends[1:])]
-        ids.append(batch.column("doc_id").to_numpy())
-        labels.append(batch.column("label").to_numpy())
-    if not lists or len(set(np.concatenate(labels))) < 2:
-        toxic, n = (np.concatenate(labels).sum(), len(lists)) if lists else (0, 0)
-        names, weights, bias = np.zeros(0, np.uint64), np.zeros(0), float(np.log((toxic + 1) / (n - toxic + 1)))
+        flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+        rows += [flat[a:b] for a, b in zip(ends, ends[1:])]
+        ids.append(batch.column("doc_id").to_numpy().copy())
+        labels.append(batch.column("label").to_numpy().copy())
+    if not rows or len(set(np.concatenate(labels))) < 2:
+        toxic, n = (np.concatenate(labels).sum(), len(rows)) if rows else (0, 0)
+        weights, bias = np.zeros(0), float(np.log((toxic + 1) / (n - toxic + 1)))
     else:
         order = np.argsort(K.mix(np.concatenate(ids).view(np.uint64)), kind="stable")
-        batch = column = flat = None  # the rows read are not needed beside the shorter ones
-        lists = _repeated([lists[i] for i in order])
-        names = np.unique(np.concatenate(lists))
-        rows = [np.searchsorted(names, x).astype(np.int32) for x in lists]
-        weights, bias = ftrl(rows, np.concatenate(labels)[order].astype(float), len(names), s)
+        weights, bias = ftrl([rows[i] for i in order], np.concatenate(labels)[order].astype(float), 1 << s.bits, s)
     used = np.flatnonzero(weights)
     yield pa.RecordBatch.from_pydict({
-        "feature": pa.array([None, *names[used].view(np.int64).tolist()], pa.int64()),
-        "weight": pa.array([bias, *weights[used].tolist()], pa.float64())})
+        "feature": pa.array([None, *used.tolist()], pa.int32()), "weight": pa.array([bias, *weights[used].tolist()], pa.float64())})
 
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted features with their weights, and the bias."""
+    """Sorted coordinates with their weights, and the bias."""
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    bits: int
 
     def margins(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.bias)
         if not len(self.features):
             return out
-        # Nearly all features have no weight: a table of low bits drops most before the search.
-        low, bits = np.zeros(1 << 20, dtype=bool), np.uint64((1 << 20) - 1)
-        low[self.features & bits] = True
+        weighted = np.zeros(1 << self.bits, dtype=bool)
+        weighted[self.features] = True
         for lo, _, data, off in K.chunks(column):
-            feats, doc = features(data, off)
-            near = np.flatnonzero(low[feats & bits])
-            feats, doc = feats[near], doc[near]
-            at = np.minimum(np.searchsorted(self.features, feats), len(self.features) - 1)
-            hit = self.features[at] == feats
-            pairs = np.unique(doc[hit].astype(np.int64) * len(self.features) + at[hit])
+            feats, doc = features(data, off, self.bits)
+            hit = np.flatnonzero(weighted[feats])
+            at = np.searchsorted(self.features, feats[hit])
+            pairs = np.unique(doc[hit].astype(np.int64) * len(self.features) + at)
             np.add.at(out, lo + pairs // len(self.features), self.weights[pairs % len(self.features)])
         return out
 
@@ -164,11 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     features of that sample, in practice a few hundred weights."""
     sample = L.bounded_sample(labels, s.sample_rows)
     rows = (L.with_text(docs, sample).select(F.col("doc_id").cast("long"), "label", F.col("text").cast("string"))
-            .mapInArrow(_feature_rows, "doc_id long, label int, features array<long>"))
-    weights = rows.repartition(1).mapInArrow(lambda b: _fit(b, s), "feature long, weight double").collect()
-    table = sorted((r.feature & (2**64 - 1), r.weight) for r in weights if r.feature is not None)
+            .mapInArrow(lambda b: _feature_rows(b, s.bits), "doc_id long, label int, features array<int>"))
+    weights = rows.repartition(1).mapInArrow(lambda b: _fit(b, s), "feature int, weight double").collect()
+    table = sorted((r.feature, r.weight) for r in weights if r.feature is not None)
     bias = next((r.weight for r in weights if r.feature is None), 0.0)
-    return Model(np.array([f for f, _ in table], dtype=np.uint64), np.array([w for _, w in table]), bias)
+    return Model(np.array([f for f, _ in table], dtype=np.int64), np.array([w for _, w in table]), bias, s.bits)
 
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
