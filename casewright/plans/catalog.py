@@ -28,7 +28,7 @@ def query(name: str, ops: str, sql: str | None = None):
 
 
 MODULES = ["corpus_queries", "quality_queries", "vector_queries", "policy_queries", "metric_queries",
-           "reply_queries", "model_queries", "stream_queries"]
+           "reply_queries", "model_queries", "stream_queries", "assist_queries"]
 
 
 def load_all() -> None:
