@@ -19,6 +19,7 @@ from casewright.sources import fixtures as FX
 from casewright.sources import sinks as S
 from casewright.sources.tables import read_table
 from casewright.streaming import assist_stream as X
+from casewright.streaming import message_stream as MS
 from casewright.operators import policy as P
 
 ASSIST_COLS = ["msg_id", "predicted_intent", "intent_confidence", "top_similarity", "evidence_count",
@@ -128,3 +129,57 @@ def q_sink_roundtrip(spark, sf_dir):
     back = S.read_cases_csv(spark, f"{base}/cases.csv", S.DOC_CASE_SCHEMA)
     S.assert_same_count(spark.read.parquet(f"{base}/cases.parquet"), back)
     return back
+
+
+# --- arriving events: replays, bad lines, sessions -------------------------------------------
+
+def event_columns(df):
+    """session_id and event_time (over two days) of messages, by their id."""
+    seconds = F.lit(1_704_067_200) + F.pmod(F.col("msg_id") * 97, F.lit(172_800))
+    return df.withColumns({"session_id": F.floor(F.col("msg_id") / 20).cast("long"), "event_time": F.timestamp_seconds(seconds)})
+
+
+def message_lines(messages):
+    """JSON lines of the messages, every ninth twice; every fiftieth has a cut copy, every seventieth one without an id."""
+    whole = event_columns(messages).select("msg_id", F.to_json(F.struct("msg_id", "session_id", "event_time", "text")).alias("value"))
+    cut = whole.where("msg_id % 50 = 0").select("msg_id", F.substring("value", 1, 14).alias("value"))
+    no_id = whole.where("msg_id % 70 = 0").select("msg_id", F.lit('{"event_time":"2024-01-01T00:00:00.000Z","text":"who am I"}').alias("value"))
+    return whole.union(whole.where("msg_id % 9 = 0")).union(cut).union(no_id).select("value")
+
+
+EVENT_RESULT = "msg_id long, decision string, primary_rule string"
+
+
+@query("stream_replays", "X1 P7", with_views(["signals"], """
+SELECT a.msg_id, coalesce(a.reason, d.decision) AS outcome, CASE WHEN a.reason IS NULL THEN d.primary_rule END AS primary_rule
+FROM admitted a JOIN decisions d ON d.msg_id = a.msg_id
+UNION ALL SELECT NULL, 'malformed', NULL FROM messages WHERE msg_id % 50 = 0
+UNION ALL SELECT NULL, 'no msg_id', NULL FROM messages WHERE msg_id % 70 = 0""", extra=POLICY_CTES + [f"""admitted AS (
+  SELECT msg_id, CASE WHEN {strip_sql("coalesce(text, '')")} = '' THEN 'empty' WHEN length({strip_sql('text')}) > 2000 THEN 'too_long' END AS reason
+  FROM messages)"""]))
+def q_stream_replays(spark, sf_dir):
+    """Messages as arriving lines, some repeated and some broken: every message is decided once, every bad line is reported."""
+    base = scratch_dir(spark, f"stream-replays-{uuid.uuid4().hex}")
+    message_lines(FX.messages(spark, sf_dir)).repartition(4).write.text(f"{base}/in")
+    signals = FX.signals(spark, sf_dir).drop("text")
+    MS.run_messages(spark, f"{base}/in", lambda b: P.decide(b.join(signals, "msg_id")).select("msg_id", "decision", "primary_rule"),
+                    f"{base}/out", f"{base}/errors", f"{base}/ckpt", delay="3 days", files_per_batch=2)
+    done = MS.results(spark, f"{base}/out", EVENT_RESULT).select("msg_id", F.col("decision").alias("outcome"), "primary_rule")
+    errors = MS.results(spark, f"{base}/errors", MS.ERRORS)
+    return done.unionByName(errors.select(F.when(F.col("line").isNull(), F.col("msg_id")).alias("msg_id"), F.col("reason").alias("outcome"),
+                                          F.lit(None).cast("string").alias("primary_rule")))
+
+
+@query("session_stats", "X2 P3", with_views(["signals"], """
+SELECT strftime(TIMESTAMP '2024-01-01' + to_days(CAST((msg_id * 97 % 172800) // 86400 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS day,
+       msg_id // 20 AS session_id, count(*) AS analysed, count(*) FILTER (WHERE decision = 'auto_handle') AS auto_handled,
+       count(*) FILTER (WHERE decision = 'escalate') AS escalated,
+       round(CAST(sum(round(intent_confidence * 10000)) AS DOUBLE) / count(*) / 10000, 4) AS mean_confidence
+FROM decisions GROUP BY ALL""", extra=POLICY_CTES))
+def q_session_stats(spark, sf_dir):
+    """Running statistics per session from files of decided messages, as the last upserted version."""
+    base = scratch_dir(spark, f"session-stats-{uuid.uuid4().hex}")
+    columns = [c.split()[0] for c in SIGNAL_SCHEMA.split(", ")]
+    X.stage_files(event_columns(FX.signals(spark, sf_dir).select(*columns)), f"{base}/in", 3)
+    MS.run_session_stats(spark, f"{base}/in", f"{SIGNAL_SCHEMA}, session_id long, event_time timestamp", f"{base}/out", f"{base}/ckpt")
+    return MS.latest(spark, f"{base}/out").withColumn("day", F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
