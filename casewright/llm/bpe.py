@@ -34,6 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.llm import kernels as K
 from casewright.llm import registry
 from casewright.llm.session import prepare, read
 
@@ -203,6 +204,9 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
     @F.arrow_udf("array<int>")
     def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from K.freed(encoded(columns))
+
+    def encoded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = WordTable(vocabulary(path), pattern)  # goes with the task
         for column in columns:
             parts, some, chars = [], [], 0
@@ -228,9 +232,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     """``encoded`` with the bytes of its ids."""
 
     @F.arrow_udf("binary")
-    def bytes_of(column: pa.Array) -> pa.Array:
+    def bytes_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(path)
-        return pa.array([vocab.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in column], pa.binary())
+        yield from K.freed(pa.array([vocab.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in column], pa.binary())
+                           for column in columns)
 
     return encoded.withColumn(into, bytes_of(F.col(ids)))
 

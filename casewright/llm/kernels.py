@@ -8,6 +8,8 @@ have length zero, exactly like empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,19 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+def freed(results: Iterator) -> Iterator:
+    """``results`` of a task; at its end the worker's free memory goes back to the system. Workers wait for their
+    next task beside the executor's heap, and the C allocator would keep what their largest chunk took."""
+    try:
+        yield from results
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64 (arithmetic modulo 2**64)."""
     x = x + U64(0x9E3779B97F4A7C15)

@@ -193,7 +193,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     own = sketches.join(bounded_broadcast(ids), "doc_id", "left_semi")
     of = lambda c: own.select(F.col("doc_id").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(lambda x: _estimated(x, s), "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(lambda x: K.freed(_estimated(x, s)), "a long, b long")
 
 
 def _verified(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
               .select("a", "salt", F.lit(0).alias("partner"), F.col("a").alias("b"), "text"))
     partners = salted.join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", F.lit(1).alias("partner"), "b", "text")
     return (pivots.union(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", "partner", "b")
-            .mapInArrow(lambda x: _verified(x, s), "a long, b long").distinct())
+            .mapInArrow(lambda x: K.freed(_verified(x, s)), "a long, b long").distinct())
 
 
 def _linked(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
@@ -300,7 +300,7 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = reliable_checkpoint(docs.mapInArrow(lambda b: _sketch(b, s.width), _SKETCH))
+    sketches = reliable_checkpoint(docs.mapInArrow(lambda b: K.freed(_sketch(b, s.width)), _SKETCH))
     linkable = sketches.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
     # Equal sets: one representative for each.
     # (Written out, so that the join has its own exchange on both sides and a hot class can be split.)

@@ -146,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     features of that sample, in practice a few hundred weights."""
     sample = L.bounded_sample(labels, s.sample_rows)
     rows = (L.with_text(docs, sample).select(F.col("doc_id").cast("long"), "label", F.col("text").cast("string"))
-            .mapInArrow(lambda b: _feature_rows(b, s.bits), "doc_id long, label int, features array<int>"))
-    weights = rows.repartition(1).mapInArrow(lambda b: _fit(b, s), "feature int, weight double").collect()
+            .mapInArrow(lambda b: K.freed(_feature_rows(b, s.bits)), "doc_id long, label int, features array<int>"))
+    weights = rows.repartition(1).mapInArrow(lambda b: K.freed(_fit(b, s)), "feature int, weight double").collect()
     table = sorted((r.feature, r.weight) for r in weights if r.feature is not None)
     bias = next((r.weight for r in weights if r.feature is None), 0.0)
     return Model(np.array([f for f, _ in table], dtype=np.int64), np.array([w for _, w in table]), bias, s.bits)
@@ -158,8 +158,8 @@ def score(spark: SparkSession, model: Model, text: Column) -> Column:
     shipped = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def probability(column: pa.Array) -> pa.Array:
-        return pa.array(1.0 / (1.0 + np.exp(-np.clip(shipped.value.margins(column), -35, 35))))
+    def probability(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from K.freed(pa.array(1.0 / (1.0 + np.exp(-np.clip(shipped.value.margins(x), -35, 35)))) for x in columns)
 
     return probability(text.cast("string"))
 
