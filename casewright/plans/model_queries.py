@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casewright.operators import intent as I
 from casewright.operators import metrics as M
 from casewright.operators import quality as Q
+from casewright.operators.common import reliable_checkpoint
 from casewright.plans.catalog import query
 from casewright.plans.corpus_queries import _clean_sql
 from casewright.plans.oracle_views import with_views
@@ -49,7 +50,7 @@ def q_majority(spark, sf_dir):
 def q_intent_models(spark, sf_dir):
     """Three models fitted on the train split, predictions for the test split."""
     # the split feeds training, the majority count and the test predictions: compute it once
-    s = _split(spark, sf_dir).select("tweet_id", "text", "intent", "split").cache()
+    s = reliable_checkpoint(_split(spark, sf_dir).select("tweet_id", "text", "intent", "split"))
     models = I.train_models(s.filter(F.col("split") == "train"), FX.DOC_TAXONOMY)
     return I.predict(models, s.filter(F.col("split") == "test"))
 
@@ -84,7 +85,7 @@ def q_retrieved_intents(spark, sf_dir):
     the train split) and compared with the query document's own label."""
     from casewright.operators.metrics import retrieval_metrics
     from casewright.plans.vector_queries import knn_result
-    s = _split(spark, sf_dir).select("tweet_id", "text", "intent", "split").cache()
+    s = reliable_checkpoint(_split(spark, sf_dir).select("tweet_id", "text", "intent", "split"))
     models = I.train_models(s.filter(F.col("split") == "train"), FX.DOC_TAXONOMY, with_svm=False)
     docs = FX.labelled_docs(spark, sf_dir)
     hits = knn_result(spark, sf_dir).select("query_id", "rank", "case_id", "similarity")
