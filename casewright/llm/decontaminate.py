@@ -12,7 +12,8 @@ stand there. It counts as a slot only where the document has another name.
 Every window of ``Settings.window`` template tokens of a benchmark item (an item
 with fewer is one window) is indexed under its anchor, the literal token that is
 rarest in the documents (counted over all of them), with the second rarest beside it.
-Documents are exploded to tokens and hash-joined with the index on the anchor;
+Documents are exploded to tokens, which are joined as they are with the forms in which
+anchors occur (found by counting), and then with the index on the anchor;
 where the second token is at its place too, the document's window is canonicalised
 and must have the template of the indexed window (or, for texts in other case, its
 literal cores).
@@ -72,8 +73,9 @@ JOINED = "\x01"
 _WORDS = "|".join(NUMBER_WORDS)
 JOINT = (r"(?<=[0-9])-?(?=\p{L})|(?<=\p{L})-?(?=[0-9])|(?<=[0-9])-(?=[0-9])"
          rf"|-(?<=\b(?i:{_WORDS})-)(?=\p{{L}})(?!(?i:{'|'.join(ONES)})\b)")
-#: In every text with a joint, and quick to look for.
-HINT = r"[0-9]-?\p{L}|[0-9]-[0-9]|(?<=\p{L}-?)[0-9]|(?<=\p{L})-(?=\p{L})"
+#: In every text with a joint, and quick to look for: a joint has a digit or a hyphen, which most texts lack.
+HINT = r"(?=[0-9-])(?:[0-9]-?\p{L}|[0-9]-[0-9]|(?<=\p{L}-?)[0-9]|(?<=\p{L})-(?=\p{L}))"
+MARK = r"[0-9-]"
 NUMBER_WORD = rf"^({_WORDS}|({'|'.join(TENS)})-({'|'.join(ONES)}))$"
 NUMBER = r"^[+-]?[$€£]?[0-9]+([.,:/][0-9]+)*%?$"
 CAPITALISED = r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}+[^\p{L}\p{N}]*$"
@@ -92,7 +94,7 @@ class Settings:
 def tokens(text: Column) -> Column:
     text = F.translate(F.coalesce(text.cast("string"), F.lit("")), JOINED, " ")
     # Few texts have a joint; the others are spared the search with its look-behinds.
-    text = F.when(text.rlike(HINT), F.regexp_replace(text, JOINT, f" {JOINED}")).otherwise(text)
+    text = F.when(text.rlike(MARK) & text.rlike(HINT), F.regexp_replace(text, JOINT, f" {JOINED}")).otherwise(text)
     return F.array_remove(F.split(text, SPACE), "")
 
 
@@ -141,26 +143,28 @@ def _windows(benchmark: DataFrame, s: Settings) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row for each token of each document that has an id."""
-    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # Positions of the tokens that are joined to the one before.
-    joints = F.filter(F.transform("toks", lambda t, i: F.when(t.startswith(JOINED), i)), lambda i: i.isNotNull())
-    joints = F.when(F.col("text").rlike(HINT), joints).otherwise(F.array().cast("array<int>"))
-    if "joints" in keep:
-        own = own.withColumn("joints", joints)
-    return own.select(*keep, F.posexplode("toks").alias("at", "token")).withColumn("anchor", core(F.col("token")))
-
-
-def index(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
-    """One row for each indexed window of each item, with its two rarest literal tokens."""
+    """One row (token, at, ``keep``) for each token of each document that has an id."""
+    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"))
+    return own.select(*keep, F.posexplode("toks").alias("at", "token"))
+
+
+def forms(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, anchor, n): every form (case, punctuation around it) in which a word of ``words`` (anchor) occurs in
+    the documents, with its occurrences. Tokens are counted as they are, so that their cores are made once for each form."""
+    counted = _tokens(docs).groupBy("token").agg(F.count("*").alias("n")).withColumn("anchor", core(F.col("token")))
+    return reliable_checkpoint(counted.join(bounded_broadcast(words, INDEX_ROWS), "anchor").select("token", "anchor", "n"))
+
+
+def index(docs: DataFrame, benchmark: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """One row for each indexed window of each item, with its two rarest literal tokens; and the forms of the rarest ones."""
     rows = reliable_checkpoint(_windows(benchmark, s))
     literal = (rows.select("item_id", "item_at", "openers", F.posexplode("item_template").alias("place", "anchor"))
                .where(~F.col("anchor").isin([*SLOTS, ""])).withColumn("opener", F.get("openers", F.col("place"))).drop("openers"))
     named = (rows.select(F.explode(F.arrays_zip("item_template", "item_cores")).alias("z")).where("z.item_template = '<name>'")
              .select(F.col("z.item_cores").alias("anchor"), F.lit(True).alias("named")).distinct())
     words = reliable_checkpoint(literal.select("anchor").distinct())
-    seen = _tokens(docs).join(bounded_broadcast(words, INDEX_ROWS), "anchor").groupBy("anchor").agg(
-        F.count("*").alias("seen"), F.max(F.btrim("token", F.lit(JOINED + PUNCTUATION)) == F.col("anchor")).alias("lower"))
+    found = forms(docs, words)
+    seen = found.groupBy("anchor").agg(F.sum("n").alias("seen"), F.max(F.btrim("token", F.lit(JOINED + PUNCTUATION)) == F.col("anchor")).alias("lower"))
     name = F.col("opener") & (F.coalesce("named", F.lit(False)) | ~F.coalesce("lower", F.lit(False)))
     # Names come last; a window whose words are all names keeps them as words.
     rarest = (literal.join(seen, "anchor", "left").join(named, "anchor", "left").groupBy("item_id", "item_at")
@@ -172,17 +176,23 @@ def index(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
         "item_id", "item_at", "n", put.alias("item_template"), "item_cores", F.get("r", F.lit(0))["anchor"].alias("anchor"),
         F.get("r", F.lit(0))["place"].alias("anchor_at"), F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0))).alias("second"))
     windows = rows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return reliable_checkpoint(rows.join(windows, "item_id").withColumns({"second_at": F.col("second.place"), "second": F.col("second.anchor")}))
+    rows = reliable_checkpoint(rows.join(windows, "item_id").withColumns({"second_at": F.col("second.place"), "second": F.col("second.anchor")}))
+    return rows, found.join(rows.select("anchor").distinct(), "anchor", "left_semi").select("token", "anchor")
 
 
-def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each document window with the template or the cores of an indexed window."""
+def hits(docs: DataFrame, found: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One row for each document window with the template or the cores of an indexed window. ``anchors``: (token, anchor);
+    a token that is no form of an anchor goes at the first join, as it is."""
     start = F.col("at") - F.col("anchor_at")
     inside = (start >= 0) & (start + F.col("n") <= F.size("toks"))
-    near = (_tokens(docs, "doc_id", "toks", "joints").join(bounded_broadcast(found, INDEX_ROWS), "anchor")
+    joints = lambda n: F.size(F.filter(F.slice("toks", 1, n), lambda t: t.startswith(JOINED)))
+    near = (_tokens(docs, "doc_id", "toks").join(bounded_broadcast(reliable_checkpoint(anchors), INDEX_ROWS), "token")
+            .join(bounded_broadcast(found, INDEX_ROWS), "anchor")
             .where(inside & (core(F.get("toks", start + F.col("second_at"))) == F.col("second")))
             # The window leaves its document here; the generator keeps later filters above it.
-            .select("doc_id", "item_id", "item_at", "n", "n_windows", "item_template", "item_cores", "joints", start.alias("doc_at"),
+            .select("doc_id", "item_id", "item_at", "n", "n_windows", "item_template", "item_cores", start.alias("doc_at"),
+                    # Where the window's ends lie among tokens cut at white space.
+                    (start - joints(start + 1)).alias("first"), (start + F.col("n") - 1 - joints(start + F.col("n"))).alias("last"),
                     F.explode(F.array(window(F.col("toks"), start, F.col("n")))).alias("part"))
             .withColumn("doc_cores", F.transform(F.slice("part", 2, F.col("n")), core)))
     fits = F.zip_with(template(F.col("part")), F.sequence(F.lit(0), F.col("n") - 1), lambda t, i: (
@@ -190,9 +200,7 @@ def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
                                             & ((F.get("doc_cores", i) == F.get("item_cores", i)) | capitalised(F.get("part", i + 1))))))
     same = near.where((F.col("doc_cores") == F.col("item_cores")) | F.forall(fits, lambda x: x))
     slots = F.filter(F.arrays_zip("item_template", "item_cores", "doc_cores"), lambda z: z["item_template"].isin(SLOTS))
-    at = lambda i: i - F.size(F.filter("joints", lambda j: j <= i))
-    return same.select("doc_id", "item_id", "item_at", "doc_at", "n", "n_windows", slots.alias("slots"),
-                       at(F.col("doc_at")).alias("first"), at(F.col("doc_at") + F.col("n") - 1).alias("last"))
+    return same.select("doc_id", "item_id", "item_at", "doc_at", "n", "n_windows", slots.alias("slots"), "first", "last")
 
 
 def value(kind: Column, text: Column) -> Column:
@@ -220,7 +228,7 @@ def voted(alignment: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, n_windows, matched, coverage, first_token, last_token, n_slots, reparameterised)."""
     prepare(docs.sparkSession)
-    alignment = (hits(docs, index(docs, benchmark, s)).groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+    alignment = (hits(docs, *index(docs, benchmark, s)).groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
                  .agg(F.collect_set(F.struct("item_at", "first", "last", "slots")).alias("found"),
                       F.max("n_windows").alias("n_windows")))
     consistent = voted(alignment)
