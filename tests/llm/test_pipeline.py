@@ -17,8 +17,8 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_dealt_operator_and_the_pipeline_are_registered():
     queries = entry.queries()
-    assert [sum(q.startswith(f"op{n}_") for q in queries) for n in range(1, 11)] == [1] * 10 and "pipeline" in queries
-    assert set(registry.ORACLE) == {"op1_decontaminate", "op3_near_dedup", "op7_exact_dedup", "op8_warc"}
+    assert [sum(q.startswith(f"op{n}_") for q in queries) for n in range(1, 14)] == [1] * 13 and "pipeline" in queries
+    assert set(registry.ORACLE) == {"op1_decontaminate", "op3_near_dedup", "op7_exact_dedup", "op8_warc", "op11_collocations", "op12_hard_negatives", "op13_line_dedup"}
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontaminate", "byte_bpe"]
 
 
