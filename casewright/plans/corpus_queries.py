@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from casewright.functions.text import clean_for_embedding, truncate
 from casewright.operators import corpus as C
-from casewright.operators.admission import admit_messages
+from casewright.operators.admission import admit_messages, flag_messages
 from casewright.operators.graph import conversation_roots
-from casewright.operators.quality import corpus_profile
+from casewright.operators.quality import corpus_profile, merge_parts, profile_parts
 from casewright.plans.catalog import query
 from casewright.plans.oracle_views import norm_sql, strip_sql, with_views
+from casewright.session import scratch_dir
 from casewright.sources import fixtures as FX
 from casewright.sources.tables import read_table
 
@@ -168,6 +171,33 @@ def q_admission(spark, sf_dir):
     return admit_messages(FX.messages(spark, sf_dir), "msg_id", "text")
 
 
+@query("admission_limits", "P7", with_views(["messages"], f"""
+SELECT msg_id, top_k, reject_reason IS NULL AS accepted, reject_reason FROM (
+  SELECT msg_id, top_k, CASE WHEN strip = '' THEN 'empty' WHEN length(strip) > 2000 THEN 'too_long' WHEN top_k < 1 OR top_k > 10 THEN 'bad_top_k' END AS reject_reason
+  FROM (SELECT msg_id, CAST(msg_id % 13 AS INTEGER) AS top_k, {strip_sql("coalesce(text, '')")} AS strip FROM messages))"""))
+def q_admission_limits(spark, sf_dir):
+    """Admission with the requested number of cases, which must lie within its limits."""
+    asked = FX.messages(spark, sf_dir).withColumn("top_k", (F.col("msg_id") % 13).cast("int"))
+    return flag_messages(asked, "text", "top_k").select("msg_id", "top_k", "accepted", "reject_reason")
+
+
+@query("profile_parts", "A3", with_views(["docs_cases"], f"""
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE customer_text IS NULL) AS null_customer_text,
+       count(*) FILTER (WHERE support_text IS NULL) AS null_support_text, true AS ids_close, true AS texts_close, true AS replies_close
+FROM docs_cases"""))
+def q_profile_parts(spark, sf_dir):
+    """Profiles of seven parts, stored and merged; their distinct counts are within 3 % of the exact ones."""
+    cases = FX.docs_cases(spark, sf_dir)
+    path = f"{scratch_dir(spark, 'profile')}-{uuid.uuid4().hex}"
+    profile_parts(cases, F.col("customer_tweet_id") % 7).write.parquet(path)
+    exact = corpus_profile(cases).select(*[F.col(c).alias(f"exact_{c}") for c in ("distinct_customer_ids", "distinct_customer_texts", "distinct_replies")])
+    both = merge_parts(spark.read.parquet(path)).unionByName(exact, allowMissingColumns=True)     # one row each
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    close = lambda c: F.abs(F.col(c) - F.col(f"exact_{c}")) <= 0.03 * F.col(f"exact_{c}")
+    return both.select("n_rows", "null_customer_text", "null_support_text", close("distinct_customer_ids").alias("ids_close"),
+                       close("distinct_customer_texts").alias("texts_close"), close("distinct_replies").alias("replies_close"))
+
+
 @query("corpus_profile", "S3 A3 A5", with_views(["docs_cases"], f"""
 SELECT count(*) AS n_rows,
        count(DISTINCT customer_tweet_id) AS distinct_customer_ids,

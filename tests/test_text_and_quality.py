@@ -95,3 +95,16 @@ def test_profile_approximate_close_to_exact(spark):
     approx = Q.corpus_profile(cases, approximate=True).first()
     for c in ("distinct_customer_ids", "distinct_customer_texts", "distinct_replies"):
         assert abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c])
+
+
+def test_profiles_of_parts_merge_to_the_same_whatever_the_split(spark):
+    from casewright.operators.quality import corpus_profile, merge_parts, profile_parts
+    rows = [(i, None if i % 50 == 0 else f"Text {i % 700}", f"reply {i % 90}") for i in range(3000)]
+    cases = spark.createDataFrame(rows, "customer_tweet_id long, customer_text string, support_text string")
+    merged = [merge_parts(profile_parts(cases, p)).first() for p in (F.col("customer_tweet_id") % 7, F.floor(F.col("customer_tweet_id") / 1000), F.lit(0))]
+    exact = corpus_profile(cases).first()
+    for m in merged:
+        assert (m.n_rows, m.null_customer_text, m.null_support_text) == (3000, 60, 0)
+        for c in ("distinct_customer_ids", "distinct_customer_texts", "distinct_replies"):
+            assert abs(m[c] - exact[c]) <= 0.02 * exact[c]
+    assert tuple(merged[0])[:3] == tuple(merged[1])[:3] and merge_parts(profile_parts(cases.limit(0), F.lit(0))).first().n_rows == 0
