@@ -8,8 +8,10 @@ text is looked up, so a text that shares ``window + gram - 1`` words in a row wi
 a template always becomes a candidate. Hits of a template on nearby diagonals
 (text position minus template position) are one candidate region. There the template is
 aligned with the text inside a band around the diagonals (most matching words,
-order kept), and an alignment that covers at least ``Settings.coverage`` of the
-template is reported with its coverage and character span.
+order kept). Coverage is the matching words as a share of the template or of the span, whichever
+has more words, so added words count like missing ones. An alignment of ``Settings.coverage`` or more is reported
+with its coverage and character span if the span has exactly the template's telling words (names, versions and conditions
+that part neighbouring licenses) and does not follow a negation.
 
 The template table is small and checked against ``MAX_WORDS``, so the index is
 broadcast; texts are scanned once without a shuffle and a text is aligned where it is
@@ -43,6 +45,11 @@ from casewright.llm.session import prepare, read
 SEPARATORS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 #: Words of all templates together, at most: bounds the broadcast index.
 MAX_WORDS = 2_000_000
+#: Words that tell one license from its neighbours (versions by their digits, a 0 aside).
+TELLING = ["apache", "bsd", "mit", "isc", "mozilla", "mpl", "gnu", "gpl", "lgpl", "agpl", "lesser", "library", "affero", "eclipse", "nc", "nd", "sa",
+           "noncommercial", "noderivatives", "noderivs", "sharealike", *"123456789"]
+#: A span after one of these is no grant.
+NEGATIONS = ["not", "never"]
 FINDING = "doc_id long, license string, template_words int, matched_words int, coverage double, start int, end int"
 
 
@@ -68,6 +75,10 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views, axis=1))
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    return K.word_hashes(*K.text_bytes(pa.array([" ".join(words)], pa.string())))[0]
+
+
 class Index:
     """Inverted index of the templates: sorted fingerprints with (template, position), by gram length."""
 
@@ -79,6 +90,8 @@ class Index:
             raise ValueError(f"templates have more than {MAX_WORDS} words")
         self.names = [n for n, _ in templates]
         self.words = [words[doc == i] for i in range(len(templates))]
+        self.telling, self.negations = _hashes(TELLING), _hashes(NEGATIONS)
+        self.tells = [self.told(w) for w in self.words]
         self.settings = s
         rows = defaultdict(list)
         for i, w in enumerate(self.words):
@@ -91,6 +104,18 @@ class Index:
             found.sort()
             self.prints[n] = tuple(np.array(x) for x in zip(*found, strict=True))
 
+    def told(self, words: np.ndarray) -> frozenset[int]:
+        """The words among ``words`` that tell licenses apart."""
+        return frozenset(words[np.isin(words, self.telling)].tolist())
+
+    def coverage(self, template: int, score: int, first: int, last: int) -> float:
+        """Matching words as a share of the template or of the span, whichever is longer: added words count like missing ones."""
+        return score / max(len(self.words[template]), last - first + 1)
+
+    def names_it(self, template: int, words: np.ndarray, first: int, last: int) -> bool:
+        """Whether the span has the template's telling words and no other, and no negation before it."""
+        return self.told(words[first:last + 1]) == self.tells[template] and (first == 0 or words[first - 1] not in self.negations)
+
     def anchors(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text word position, template, template position) of every hit."""
         for n, (prints, template, position) in self.prints.items():
@@ -155,14 +180,15 @@ def find(index: Index, words: np.ndarray, anchors: list[tuple[int, int, int]]) -
             origin = max(0, low - band)
             part = words[origin:high + band + m]
             score, first, last = align(own, part, low - band - origin, high + band - origin)
-            if score >= s.coverage * m and first >= 0:
-                kept.append((score, origin + first, origin + last))
+            first, last, found_words = origin + first, origin + last, first >= 0
+            if found_words and index.coverage(template, score, first, last) >= s.coverage and index.names_it(template, words, first, last):
+                kept.append((score, first, last))
         taken: list[tuple[int, int, int]] = []
         for score, first, last in sorted(kept, key=lambda x: (-x[0], x[1])):
             if all(last < a or first > b for _, a, b in taken):
                 taken.append((score, first, last))
         out += [(template, score, first, last) for score, first, last in taken]
-    cover = lambda x: x[1] / len(index.words[x[0]])
+    cover = lambda x: index.coverage(*x)
     inside = lambda x, y: y[2] <= x[2] and x[3] <= y[3]
     out = [x for x in out if not any(inside(x, y) and cover(y) > cover(x) for y in out)]
     return sorted(out, key=lambda x: (x[2], x[0]))
@@ -187,7 +213,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
                 for template, score, first, last in find(index, words[begin[d]:begin[d + 1]], anchors):
                     m = len(index.words[template])
                     a, b = start[begin[d] + first] - off[d], end[begin[d] + last] - off[d]
-                    rows.append((ids[lo + d].as_py(), index.names[template], m, score, score / m, int(chars[a]) - 1, int(chars[b - 1])))
+                    rows.append((ids[lo + d].as_py(), index.names[template], m, score, index.coverage(template, score, first, last), int(chars[a]) - 1, int(chars[b - 1])))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)],
                                              names=["doc_id", "license", "template_words", "matched_words", "coverage", "start", "end"])

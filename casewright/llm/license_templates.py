@@ -16,7 +16,26 @@ following disclaimer in the documentation and/or other materials provided with t
     ("CC-BY-4.0 statement", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0 statement", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0 statement", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0 statement", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0 statement", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0 statement", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-3.0 statement", "Licensed under CC BY 3.0."),
     ("CC-BY-4.0 notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0 notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0 notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0 notice", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("AGPL-3.0 statement", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0-or-later notice", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
+    ("BSD statement", "Released under the BSD License."),
+    ("GPL-2.0 statement", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0-or-later notice", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("LGPL-3.0 statement", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("GPL-3.0 statement", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-or-later notice", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
 General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
