@@ -204,25 +204,48 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
     @F.arrow_udf("array<int>")
     def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from K.freed(encoded(columns))
-
-    def encoded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = WordTable(vocabulary(path), pattern)  # goes with the task
-        for column in columns:
-            parts, some, chars = [], [], 0
-            for value in column:
-                value = value.as_py()
-                some.append(value)
-                chars += len(value or "")
-                if chars >= SLICE_CHARS:
-                    parts.append(table.encode(some))
-                    some, chars = [], 0
-            parts.append(table.encode(some))
-            yield pa.concat_arrays(parts)
+        yield from K.freed(_encoded(column, table) for column in columns)
 
     return docs.withColumn(into, ids(F.col(text).cast("string")))
 
 
+def _encoded(column: pa.Array, table: WordTable) -> pa.Array:
+    """Ids of each text of a column, some texts at a time."""
+    parts, some, chars = [], [], 0
+    for value in column:
+        value = value.as_py()
+        some.append(value)
+        chars += len(value or "")
+        if chars >= SLICE_CHARS:
+            parts.append(table.encode(some))
+            some, chars = [], 0
+    parts.append(table.encode(some))
+    return pa.concat_arrays(parts)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
+    """``docs`` with ids and decoded: the ids of each whole text and the bytes that they decode to. Both come from one Python
+    worker, so ids do not travel to a second one."""
+    prepare(docs.sparkSession)
+    _checked(path)
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocab = vocabulary(path)
+        table = WordTable(vocab, pattern)
+
+        def decoded(ids: pa.Array) -> pa.Array:
+            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            return pa.array([vocab.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+
+        yield from K.freed(pa.StructArray.from_arrays([ids, decoded(ids)], names=["ids", "decoded"])
+                           for ids in (_encoded(column, table) for column in columns))
+
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    return docs.withColumn("_both", both(F.col(text).cast("string"))).select(*kept, "_both.ids", "_both.decoded")
+
+
 @lru_cache(maxsize=2)
 def _checked(path: str) -> None:
     vocabulary(path).check()
@@ -250,5 +273,5 @@ def digests(encoded: DataFrame) -> list[Column]:
 @registry.query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = decode(encode(read(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    encoded = round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), path)
     return encoded.select("doc_id", *digests(encoded))

@@ -292,3 +292,12 @@ def test_empty_pages_and_torn_streams(spark):
     for size in (1, 7, 1000):
         data = record * 3
         assert list(warc.split_records(data[i:i + size] for i in range(0, len(data), size))) == [record] * 3
+
+
+def test_round_trip_in_one_worker_equals_encoding_and_decoding_apart(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "Hello  wörld\n"), (2, None), (3, ""), (4, "a" * 5000), (1, "Hello  wörld\n")], "doc_id long, text string").coalesce(1)
+    apart = bpe.decode(bpe.encode(docs, path), path).select("doc_id", "text", "ids", "decoded")
+    both = bpe.round_trip(docs, path)
+    assert both.columns == apart.columns and sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
