@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes of every document left."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    encoded = bpe.round_trip(docs.select("doc_id", "text"), path)
     return encoded.select("doc_id", *bpe.digests(encoded))
 
 
