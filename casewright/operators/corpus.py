@@ -14,7 +14,9 @@ Stages (each a DataFrame, composed lazily into one plan):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions.text import norm_key, py_strip
@@ -178,21 +180,49 @@ def quarantine_blank(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cases.filter(~bad), cases.filter(bad)
 
 
+class RunAudit:
+    """A31 of the run itself: counters that the stages of C1 report while they run, so nothing runs twice for counting.
+
+    ``watch`` lets a stage's rows through and counts them; ``rows`` are the counts once the corpus was built. A stage
+    that Spark repeats after losing an executor may be counted again, as its metrics are accumulators."""
+
+    def __init__(self):
+        self.seen: list[tuple[str, Observation]] = []
+
+    def watch(self, df: DataFrame, **counts: Column) -> DataFrame:
+        seen = Observation(f"audit-{uuid.uuid4().hex}")
+        self.seen += [(name, seen) for name in counts]
+        return df.observe(seen, *[c.alias(name) for name, c in counts.items()])
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """(stage, n), one row for each counter."""
+        counts = [(name, int(seen.get.get(name) or 0)) for name, seen in self.seen]
+        return spark.createDataFrame(counts, "stage string, n long")
+
+
 def build_case_corpus(tweets: DataFrame, golden: DataFrame | None, brand: str,
-                      deduplicate: bool = True) -> DataFrame:
-    """C1 end to end; returns the case table ordered by ``case_id``."""
+                      deduplicate: bool = True, audit: RunAudit | None = None) -> DataFrame:
+    """C1 end to end; returns the case table ordered by ``case_id``. ``audit`` gets the row count of every stage."""
+    one = F.count(F.lit(1))
+    watch = audit.watch if audit is not None else lambda df, **counts: df
     tw = tweets.select(*TWEET_COLUMNS)
     merged = merge_multipart_replies(brand_replies(tw, brand))
-    paired = pair_cases(merged, customer_tweets(tw))
+    is_brand = (F.col("inbound") == F.lit(False)) & (F.col("author_id") == F.lit(brand))
+    # The rows of the customers' side pass the raw counters before any is left out.
+    customers = customer_tweets(watch(tw, **{"1_raw_tweets": one, "2_customer_tweets": F.count_if(F.col("inbound") == F.lit(True)),
+                                             "3_brand_tweets": F.count_if(is_brand)}))
+    paired = watch(pair_cases(merged, customers), **{"4_pairs": one})
     roots = conversation_roots(tw)
     paired = (paired.join(roots.withColumnRenamed("tweet_id", "customer_tweet_id"), "customer_tweet_id", "left")
                     .withColumn("conversation_id", F.coalesce("conversation_id", "customer_tweet_id")))
     if golden is not None:
         paired = exclude_leakage(paired, golden)
-    kept, _ = quarantine_blank(paired)
+    kept, _ = quarantine_blank(watch(paired, **{"5_after_leakage": one}))
+    kept = watch(kept, **{"6_after_quarantine": one})
     if deduplicate:
         kept = dedup_longest_reply(kept)
-    numbered = assign_case_ids(kept)
+    # Counted behind the range sort, whose sampling reads what is before it twice.
+    numbered = watch(assign_case_ids(kept), **{"7_final_cases": one})
     return numbered.select(
         "case_id", "customer_tweet_id", "support_tweet_id", "customer_text", "support_text",
         F.col("customer_created_at").alias("created_at"), F.lit(None).cast("string").alias("intent"),

@@ -212,7 +212,7 @@ def q_corpus_profile(spark, sf_dir):
     return corpus_profile(FX.docs_cases(spark, sf_dir))
 
 
-@query("etl_audit", "A31 C1", with_views(["tweets", "tweet_golden"], f"""
+ETL_AUDIT_SQL = with_views(["tweets", "tweet_golden"], f"""
 SELECT '1_raw_tweets' AS stage, count(*) AS n FROM tweets
 UNION ALL SELECT '2_customer_tweets', count(*) FROM tweets WHERE inbound
 UNION ALL SELECT '3_brand_tweets', count(*) FROM tweets WHERE NOT inbound AND author_id = 'support'
@@ -223,6 +223,18 @@ UNION ALL SELECT '7_final_cases', count(DISTINCT {norm_sql('customer_text')}) FR
     extra=[SUP_CTE, MERGED_CTE, PAIRED_CTE,
            f"lf AS (SELECT * FROM paired WHERE {_leak_filter('customer_tweet_id', 'customer_text', 'tweet_golden')})",
            f"""kept AS (SELECT * FROM lf WHERE customer_text IS NOT NULL AND support_text IS NOT NULL
-                AND {strip_sql('customer_text')} <> '' AND {strip_sql('support_text')} <> '')"""]))
+                AND {strip_sql('customer_text')} <> '' AND {strip_sql('support_text')} <> '')"""])
+
+
+@query("etl_audit", "A31 C1", ETL_AUDIT_SQL)
 def q_etl_audit(spark, sf_dir):
     return C.etl_audit(FX.tweets(spark, sf_dir), FX.tweet_golden(spark, sf_dir), FX.BRAND)
+
+
+@query("etl_run_audit", "A31 C1", ETL_AUDIT_SQL)
+def q_etl_run_audit(spark, sf_dir):
+    """The same counters, reported by the stages of one build of the corpus."""
+    audit = C.RunAudit()
+    cases = C.build_case_corpus(FX.tweets(spark, sf_dir), FX.tweet_golden(spark, sf_dir), FX.BRAND, audit=audit)
+    cases.write.format("noop").mode("overwrite").save()
+    return audit.rows(spark)

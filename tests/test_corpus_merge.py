@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timezone
 
 from casewright.operators.corpus import merge_multipart_replies
+from conftest import SF_SMALL
 
 FMT = "%a %b %d %H:%M:%S +0000 %Y"
 
@@ -42,3 +43,16 @@ def test_hot_parent_across_partitions(spark):
     got = {r["customer_tweet_id"]: (r["support_tweet_id"], r["support_text"], r["support_created_at"])
            for r in merge_multipart_replies(df, num_partitions=8).collect()}
     assert got == brute(rows)
+
+
+def test_counters_of_the_run_equal_the_audit_and_add_no_scan(spark):
+    from casewright.operators import corpus as C
+    from casewright.sources import fixtures as FX
+    tweets, golden = FX.tweets(spark, SF_SMALL), FX.tweet_golden(spark, SF_SMALL)
+    audit = C.RunAudit()
+    cases = C.build_case_corpus(tweets, golden, FX.BRAND, audit=audit)
+    plain = C.build_case_corpus(tweets, golden, FX.BRAND)
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Scan")
+    assert scans(cases) == scans(plain)
+    assert sorted(map(tuple, cases.collect())) == sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, audit.rows(spark).collect())) == sorted(map(tuple, C.etl_audit(tweets, golden, FX.BRAND).collect()))
