@@ -71,9 +71,9 @@ WHERE msg_id IN (SELECT msg_id FROM messages WHERE {strip_sql('text')} <> '' AND
 def q_stream_assist(spark, sf_dir):
     base = scratch_dir(spark, f"stream-assist-{uuid.uuid4().hex}")
     src = FX.signals(spark, sf_dir).select(*[c.split()[0] for c in SIGNAL_SCHEMA.split(", ")])
-    X.stage_files(src, f"{base}/in", 4)
+    each = X.stage_files(src, f"{base}/in", 4)
     X.run_assist_stream(spark, f"{base}/in", SIGNAL_SCHEMA, _evidence_for(spark, sf_dir), f"{base}/out",
-                        f"{base}/errors", f"{base}/ckpt")
+                        f"{base}/errors", f"{base}/ckpt", each)
     return spark.read.parquet(f"{base}/out").select(*ASSIST_COLS)
 
 
@@ -84,8 +84,8 @@ FROM decisions""", extra=POLICY_CTES))
 def q_stream_stats(spark, sf_dir):
     base = scratch_dir(spark, f"stream-stats-{uuid.uuid4().hex}")
     src = FX.signals(spark, sf_dir).select(*[c.split()[0] for c in SIGNAL_SCHEMA.split(", ")])
-    X.stage_files(src, f"{base}/in", 4)
-    X.run_stats_stream(spark, f"{base}/in", SIGNAL_SCHEMA, f"{base}/out", f"{base}/ckpt")
+    each = X.stage_files(src, f"{base}/in", 4)
+    X.run_stats_stream(spark, f"{base}/in", SIGNAL_SCHEMA, f"{base}/out", f"{base}/ckpt", each)
     return spark.read.parquet(f"{base}/out").select("analysed", "auto_handled", "escalated", "mean_confidence")
 
 
@@ -160,10 +160,12 @@ UNION ALL SELECT NULL, 'no msg_id', NULL FROM messages WHERE msg_id % 70 = 0""",
 def q_stream_replays(spark, sf_dir):
     """Messages as arriving lines, some repeated and some broken: every message is decided once, every bad line is reported."""
     base = scratch_dir(spark, f"stream-replays-{uuid.uuid4().hex}")
-    message_lines(FX.messages(spark, sf_dir)).repartition(4).write.text(f"{base}/in")
+    lines = message_lines(FX.messages(spark, sf_dir))
+    each = X.files_per_arrival(lines, 4, "value")
+    lines.repartition(4 * each).write.text(f"{base}/in")
     signals = FX.signals(spark, sf_dir).drop("text")
     MS.run_messages(spark, f"{base}/in", lambda b: P.decide(b.join(signals, "msg_id")).select("msg_id", "decision", "primary_rule"),
-                    f"{base}/out", f"{base}/errors", f"{base}/ckpt", delay="3 days", files_per_batch=2)
+                    f"{base}/out", f"{base}/errors", f"{base}/ckpt", delay="3 days", files_per_batch=2 * each)
     done = MS.results(spark, f"{base}/out", EVENT_RESULT).select("msg_id", F.col("decision").alias("outcome"), "primary_rule")
     errors = MS.results(spark, f"{base}/errors", MS.ERRORS)
     return done.unionByName(errors.select(F.when(F.col("line").isNull(), F.col("msg_id")).alias("msg_id"), F.col("reason").alias("outcome"),
@@ -180,6 +182,7 @@ def q_session_stats(spark, sf_dir):
     """Running statistics per session from files of decided messages, as the last upserted version."""
     base = scratch_dir(spark, f"session-stats-{uuid.uuid4().hex}")
     columns = [c.split()[0] for c in SIGNAL_SCHEMA.split(", ")]
-    X.stage_files(event_columns(FX.signals(spark, sf_dir).select(*columns)), f"{base}/in", 3)
-    MS.run_session_stats(spark, f"{base}/in", f"{SIGNAL_SCHEMA}, session_id long, event_time timestamp", f"{base}/out", f"{base}/ckpt")
+    each = X.stage_files(event_columns(FX.signals(spark, sf_dir).select(*columns)), f"{base}/in", 3)
+    MS.run_session_stats(spark, f"{base}/in", f"{SIGNAL_SCHEMA}, session_id long, event_time timestamp", f"{base}/out", f"{base}/ckpt",
+                         files_per_batch=each)
     return MS.latest(spark, f"{base}/out").withColumn("day", F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
