@@ -92,7 +92,9 @@ class Settings:
 
 
 def tokens(text: Column) -> Column:
-    text = F.translate(F.coalesce(text.cast("string"), F.lit("")), JOINED, " ")
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    # Hardly any text has the mark itself; the others are spared a pass by characters.
+    text = F.when(text.contains(JOINED), F.translate(text, JOINED, " ")).otherwise(text)
     # Few texts have a joint; the others are spared the search with its look-behinds.
     text = F.when(text.rlike(MARK) & text.rlike(HINT), F.regexp_replace(text, JOINT, f" {JOINED}")).otherwise(text)
     return F.array_remove(F.split(text, SPACE), "")
@@ -145,7 +147,8 @@ def _windows(benchmark: DataFrame, s: Settings) -> DataFrame:
 def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
     """One row (token, at, ``keep``) for each token of each document that has an id."""
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"))
-    return own.select(*keep, F.posexplode("toks").alias("at", "token"))
+    # Outer: for an inner generator Spark infers a filter on the array's size, which makes the tokens of every text twice.
+    return own.select(*keep, F.posexplode_outer("toks").alias("at", "token")).where(F.col("token").isNotNull())
 
 
 def forms(docs: DataFrame, words: DataFrame) -> DataFrame:

@@ -252,6 +252,14 @@ def test_rows_without_an_id_and_keep(spark):
     assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == ["a", "c", "c"]
 
 
+def test_a_scan_makes_the_tokens_of_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "a 12kg  bag"), (2, None), (3, " "), (4, "x\x01y"), (None, "no id")], "doc_id long, text string")
+    rows = decontaminate._tokens(docs, "doc_id")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    found = sorted((r.doc_id, r.at, r.token) for r in rows.collect())
+    assert found == [(1, 0, "a"), (1, 1, "12"), (1, 2, "\x01kg"), (1, 3, "bag"), (4, 0, "x"), (4, 1, "y")]
+
+
 # ------------------------------------------------------------------ archives
 
 def test_archives_round_trip(spark):
