@@ -77,6 +77,22 @@ def test_score_is_exact_beyond_64_bits(spark):
     assert got.score == 2_000_000 * a // (2 * big + 2)
 
 
+def test_phrases_that_ended_below_the_threshold_are_not_written(spark, monkeypatch):
+    folders, shared = [], C.shared_folder
+    monkeypatch.setattr(C, "shared_folder", lambda *a: folders.append(shared(*a)) or folders[-1])
+    docs = spark.createDataFrame([("en", f"a b a w{i % 4}") for i in range(24)], "lang string, text string")
+    frequent, words = C.phrase_counts(docs, C.Settings(threshold=12, shards=2))
+    found = {(r.n, r.phrase): r.c for r in frequent.collect()}
+    assert found == {(1, "a"): 48, (1, "b"): 24, (2, "a b"): 24, (2, "b a"): 24, (3, "a b a"): 24}
+    assert words.first().n_words == 96
+    # Pairs of "a" and a word below the threshold are not admitted, but with every bit set they are counted, and end.
+    monkeypatch.setattr(C, "bit_table", lambda rows, size: np.full(size // 8, 255, np.uint8))
+    frequent, _ = C.phrase_counts(docs, C.Settings(threshold=12, shards=2))
+    assert {(r.n, r.phrase): r.c for r in frequent.collect()} == found
+    rows = [r for u in range(3) for r in spark.read.parquet(f"{folders[-1]}/step-{u}").where("done AND n > 1").collect()]
+    assert rows and min(r.c for r in rows) >= 12
+
+
 def test_longer_phrases_are_activated_while_shorter_ones_are_still_counted(spark, monkeypatch):
     steps = []
     own = C.step_counts
