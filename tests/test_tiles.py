@@ -44,3 +44,34 @@ def test_terms_go_to_the_corpus_once_for_each_chunk(spark):
         norm = math.sqrt(sum(v * v for v in x.values()))
         want |= {(i, t): v / norm for t, v in x.items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_a_chunk_is_rows_of_bounded_size(spark):
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(900))) for i in range(12)] + [(20, ""), (21, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    tf = I.term_counts(docs, "doc_id", "text", chunk_bytes=1 << 20)
+    rows = tf.collect()
+    terms = sum(2 * len(t.split()) - 1 for _, t in texts if t)
+    assert len({r.chunk for r in rows}) == 1 and sum(len(r.terms) for r in rows) == terms
+    assert max(len(r.terms) for r in rows) <= I.PART_TERMS and max(len(r.body) for r in rows) <= I.PART_BYTES
+    n = docs.count()
+    got = {r.id: sorted(zip(r.nos, r.weights)) for r in I.tfidf_vectors(tf, I.idf_table(tf, n), n).collect()}
+    assert got.keys() == set(range(12)) and all(len({no for no, _ in v}) == 1799 for v in got.values())
+    assert all(abs(sum(w * w for _, w in v) - 1) < 1e-9 for v in got.values())
+    assert len({no for v in got.values() for no, _ in v}) == terms      # parts keep their terms' numbers apart
+
+
+def test_written_tables_have_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    from casewright.operators.common import written
+    digests = F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256))
+    df = written(spark.range(0, 400, 1, 1).select("id", F.array_join(digests, "").alias("x")), "long-rows")
+    sizes = [g for f in df.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata]
+             for g in [m.row_group(i).total_byte_size for i in range(m.num_row_groups)]]
+    assert len(sizes) > 1 and max(sizes) < 32 << 20 and df.count() == 400
+
+
+def test_terms_of_empty_texts(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (None, " ")], "doc_id long, text string")
+    assert I.term_counts(docs, "doc_id", "text").count() == 0 and I.tfidf_rows(docs).count() == 0
