@@ -75,3 +75,23 @@ def test_written_tables_have_small_row_groups(spark):
 def test_terms_of_empty_texts(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (None, " ")], "doc_id long, text string")
     assert I.term_counts(docs, "doc_id", "text").count() == 0 and I.tfidf_rows(docs).count() == 0
+
+
+def test_a_task_answers_for_a_run_of_blocks(spark, monkeypatch):
+    from casewright.operators import sparse_knn as S
+    blocks = T.packed(spark.range(0, 500, 1, 7).select(F.col("id").alias("row")), 5)
+    runs = T.runs(blocks.select(F.col("block").alias("no"), "body"), blocks, 2)
+    assert sorted(runs.rdd.glom().map(len).collect()) == [2] * 5 + [3] * 5 and "Exchange" not in plan(runs)
+    assert all(len({r.no for r in part}) == 1 for part in runs.rdd.glom().collect())
+    rows = [(f"c{i:03d}", [i % 7, 7 + i % 11, 40], [0.2 + i % 5 / 10, 0.3, 0.1]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, nos array<long>, weights array<double>").repartition(3)
+    kept, ranked = [], S._ranked
+    monkeypatch.setattr(S, "TASKS", 0)
+    monkeypatch.setattr(S, "_ranked", lambda found, k: (kept.append(found), ranked(found, k))[1])
+    got = sorted(tuple(r) for r in S.sparse_topk(df, df, 4, "id", "id", True, 1200).collect())
+    # Thresholds and the best of a run: at most k rows of a query for the first block and k for its only run.
+    assert kept[0].count() <= 2 * 4 * len(rows)
+    score = lambda a, b: round(sum(x * y for n, x in zip(a[1], a[2]) for m, y in zip(b[1], b[2]) if n == m), 9)
+    want = [(a[0], i + 1, c, s) for a in rows for i, (s, c) in enumerate(sorted(((-score(a, b), b[0]) for b in rows if b[0] != a[0]))[:4])]
+    assert [g[:3] for g in got] == [(a, i, c) for a, i, c, _ in sorted(want)]
+    assert all(abs(g[3] + w[3]) < 1e-12 for g, w in zip(got, sorted(want)))
