@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm import registry
 from casewright.llm.session import prepare, read
-from casewright.operators.common import bounded_broadcast, reliable_checkpoint
+from casewright.operators.common import bounded_broadcast, reliable_checkpoint, written
 
 INDEX_ROWS = 200_000
 
@@ -188,15 +188,19 @@ def hits(docs: DataFrame, found: DataFrame, anchors: DataFrame) -> DataFrame:
     a token that is no form of an anchor goes at the first join, as it is."""
     start = F.col("at") - F.col("anchor_at")
     inside = (start >= 0) & (start + F.col("n") <= F.size("toks"))
-    joints = lambda n: F.size(F.filter(F.slice("toks", 1, n), lambda t: t.startswith(JOINED)))
-    near = (_tokens(docs, "doc_id", "toks").join(bounded_broadcast(reliable_checkpoint(anchors), INDEX_ROWS), "token")
+    # Only a joint has the mark. No lambda here: Spark would compile it apart, and hold the tokens of a text once for each of its hits.
+    text = lambda n: F.array_join(F.slice("toks", 1, n), "")
+    joints = lambda n: F.length(text(n)) - F.length(F.translate(text(n), JOINED, ""))
+    # Where the window's ends lie among tokens cut at white space.
+    hit = F.struct(window(F.col("toks"), start, F.col("n")).alias("part"), (start - joints(start + 1)).alias("first"),
+                   (start + F.col("n") - 1 - joints(start + F.col("n"))).alias("last"))
+    # Written, for Spark would infer from how anchors were made what every token's core is not.
+    near = (_tokens(docs, "doc_id", "toks").join(bounded_broadcast(written(anchors, "anchors"), INDEX_ROWS), "token")
             .join(bounded_broadcast(found, INDEX_ROWS), "anchor")
             .where(inside & (core(F.get("toks", start + F.col("second_at"))) == F.col("second")))
             # The window leaves its document here; the generator keeps later filters above it.
-            .select("doc_id", "item_id", "item_at", "n", "n_windows", "item_template", "item_cores", start.alias("doc_at"),
-                    # Where the window's ends lie among tokens cut at white space.
-                    (start - joints(start + 1)).alias("first"), (start + F.col("n") - 1 - joints(start + F.col("n"))).alias("last"),
-                    F.explode(F.array(window(F.col("toks"), start, F.col("n")))).alias("part"))
+            .select("doc_id", "item_id", "item_at", "n", "n_windows", "item_template", "item_cores", start.alias("doc_at"), F.explode(F.array(hit)).alias("hit"))
+            .select("*", "hit.*").drop("hit")
             .withColumn("doc_cores", F.transform(F.slice("part", 2, F.col("n")), core)))
     fits = F.zip_with(template(F.col("part")), F.sequence(F.lit(0), F.col("n") - 1), lambda t, i: (
         (t == F.get("item_template", i)) | ((F.get("item_template", i) == OPENER)

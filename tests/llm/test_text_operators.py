@@ -309,3 +309,17 @@ def test_round_trip_in_one_worker_equals_encoding_and_decoding_apart(spark):
     both = bpe.round_trip(docs, path)
     assert both.columns == apart.columns and sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
     assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_hits_leave_their_text_in_the_scan(spark):
+    """A row for each hit must not hold the text's tokens: a long text with many hits would take their product."""
+    item = "the quick brown fox jumps over the lazy dog"
+    docs = spark.createDataFrame([(1, f"A 12kg crate of 3-page letters . {item} near 5km of road")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = decontaminate.hits(docs, *decontaminate.index(docs, bench, decontaminate.Settings()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode(array(")
+    assert "toks#" not in above and "lambda" not in below.splitlines()[0]
+    assert not re.search(r"Filter .*lower\(trim\(token#", below[:below.index("Generate posexplode(")])      # no core for every token
+    rows = {(r.item_at, r.first, r.last) for r in found.collect()}
+    assert rows == {(i, 7 + i, 11 + i) for i in range(5)}     # joints before and after do not count
